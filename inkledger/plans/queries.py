@@ -232,7 +232,7 @@ _BODY = {
     "fusion_scores": "SELECT * FROM scores",
     "engine_summary": "SELECT engine, round(avg(cer), 9) AS mean_cer, round(avg(wer), 9) AS mean_wer, count(*) AS n_images FROM scores GROUP BY engine",
     "best_engine": "SELECT engine AS best_engine FROM scores GROUP BY engine ORDER BY avg(cer), CASE engine WHEN 'tesseract' THEN 0 WHEN 'easyocr' THEN 1 ELSE 2 END LIMIT 1",
-    "truth_left_join": """SELECT r.stem, r.engine, CASE WHEN r.stem % 4 <> 0 THEN least(1.0::DOUBLE, levenshtein(trim(truth), trim(text))::DOUBLE / length(trim(truth))) END AS cer
+    "truth_left_join": """SELECT r.stem, r.engine, CASE WHEN r.stem % 4 <> 0 THEN least(1.0::DOUBLE, levenshtein(trim(truth), rtrim(text, chr(10)))::DOUBLE / length(trim(truth))) END AS cer
         FROM readings r JOIN truth_texts t ON r.stem = t.stem""",
     "records_save": "SELECT * FROM records",
     "export_name": """SELECT CASE count(DISTINCT source_file) WHEN 0 THEN 'records' WHEN 1 THEN min(regexp_replace(source_file, '\\.[^.]+$', '')) ELSE 'records_multiple_sources' END AS name,
