@@ -222,8 +222,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those rows that hold a window of a benchmark item."""
     (name,) = fresh(docs, "_leaks")
-    found = find_leaks(docs.withColumnRenamed("leaks", name) if "leaks" in docs.columns else docs, benchmark)
-    return found.where("leaks.n_hit = 0").select(*[F.col(f"`{name if c == 'leaks' else c}`").alias(c) for c in docs.columns])
+    named = {c: name if c.lower() == "leaks" else c for c in docs.columns}
+    found = find_leaks(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), benchmark)
+    return found.where("leaks.n_hit = 0").select(*[F.col(f"`{n}`").alias(c) for c, n in named.items()])
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,3 +238,25 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("leaks.n_hit") > 0).alias("contaminated"),
         F.col("leaks.longest").alias("longest"),
     )
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, doc_id FROM documents
+  UNION ALL
+  SELECT 'b', coalesce(CAST(item_id AS VARCHAR), ''), row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL FROM benchmark),
+items AS (SELECT id AS item, rid AS item_row, w, least(10, len(w)) AS size FROM words WHERE kind = 'b' AND len(w) > 0),
+wins AS (
+  SELECT item, item_row, size, min(pos) AS pos, win
+  FROM (SELECT item, item_row, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win FROM (SELECT *, unnest(range(len(w) - size + 1)) AS pos FROM items)) GROUP BY ALL),
+places AS (
+  SELECT rid, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win
+  FROM (SELECT rid, w, size, unnest(range(greatest(0, len(w) - size + 1))) AS pos FROM words CROSS JOIN (SELECT DISTINCT size FROM items) WHERE kind = 'd')),
+met AS (SELECT rid, item, item_row, places.pos, places.size, places.pos - wins.pos AS diagonal FROM places JOIN wins ON places.win = wins.win AND places.size = wins.size),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM met) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid),
+runs AS (SELECT rid, max(n) AS longest FROM (
+  SELECT rid, count(*) - 1 + size AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid, item_row, diagonal ORDER BY pos) AS run FROM met) GROUP BY rid, item_row, diagonal, run, size) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM words LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid) LEFT JOIN runs USING (rid) WHERE kind = 'd'"""

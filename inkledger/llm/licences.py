@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, table
+from .common import ascii_lower, fresh, table
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -209,24 +209,26 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     base_of = ", ".join(f"named_struct('label', '{label}', 'keyword', '{phrase.split()[-1]}', 'pattern', '{phrase}')" for phrase, label in BASE.items())
     keywords = sorted({k for _, _, k, _ in rules()} | {p.split()[-1] for p in BASE})
-    out = docs.drop("n_words", "base", "found").withColumn("_line", joined_words(F.col(f"`{text}`")))
-    out = out.withColumn("_words", F.split("_line", " ")).withColumn("n_words", _count(F.col("_line")).cast("long"))
-    out = out.withColumn("_keys", F.array_intersect(F.array(*map(F.lit, keywords)), "_words")).drop("_words")
-    places = lambda rule: _sql(_places("_line", f"{rule}.pattern"))
-    hits = "flatten(transform(filter(array({0}), r -> array_contains(_keys, r.keyword)), r -> transform({1}, p -> {2})))"
-    base = hits.format(base_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'label', r.label)")
-    found = hits.format(table_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'rank', r.rank, 'n', r.n, 'label', r.label)")
+    docs = docs.drop("n_words", "base", "found")
+    line, words, keys, all_ = fresh(docs, "_line", "_words", "_keys", "_all")
+    out = docs.withColumn(line, joined_words(F.col(f"`{text}`")))
+    out = out.withColumn(words, F.split(line, " ")).withColumn("n_words", _count(F.col(line)).cast("long"))
+    out = out.withColumn(keys, F.array_intersect(F.array(*map(F.lit, keywords)), words)).drop(words)
+    places = lambda rule: _sql(_places(line, f"{rule}.pattern"))
+    hits = "flatten(transform(filter(array({0}), r -> array_contains({keys}, r.keyword)), r -> transform({1}, p -> {2})))"
+    base = hits.format(base_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'label', r.label)", keys=keys)
+    found = hits.format(table_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'rank', r.rank, 'n', r.n, 'label', r.label)", keys=keys)
     kind = "array<struct<first:int,last:int,label:string>>"
     wide = "array<struct<first:int,last:int,rank:int,n:int,label:string>>"
-    gate = F.size("_keys") > 0
+    gate = F.size(keys) > 0
     out = out.withColumn("base", F.when(gate, F.expr(base)).otherwise(F.expr(f"cast(array() AS {kind})")))
-    out = out.withColumn("_all", F.when(gate, F.expr(found)).otherwise(F.expr(f"cast(array() AS {wide})")))
-    left = """
-      filter(_all, x -> NOT exists(_all, y ->
+    out = out.withColumn(all_, F.when(gate, F.expr(found)).otherwise(F.expr(f"cast(array() AS {wide})")))
+    left = f"""
+      filter({all_}, x -> NOT exists({all_}, y ->
         y.first <= x.first AND y.last >= x.last AND (
           y.rank < x.rank
           OR y.rank = x.rank AND (y.last - y.first > x.last - x.first OR y.first = x.first AND y.last = x.last AND y.n < x.n))))"""
-    return out.withColumn("found", F.expr(left)).drop("_line", "_keys", "_all")
+    return out.withColumn("found", F.expr(left)).drop(line, keys, all_)
 
 
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,9 +68,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     Null and empty texts have no sentences and become ''. Columns of those names are replaced.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    gone, all_, kept = fresh(docs, "_gone", "_all", "_kept")
-    found = repeated(docs, key, text, lengths).select(F.col("key").alias("_key"), F.col("gone").alias(gone))
-    out = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left").drop("_key")
+    gone, all_, kept, id_ = fresh(docs, "_gone", "_all", "_kept", "_key")
+    found = repeated(docs, key, text, lengths).select(F.col("key").alias(id_), F.col("gone").alias(gone))
+    out = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left").drop(id_)
     out = out.withColumn(all_, sentences(F.col(f"`{text}`")))
     numbers = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn(kept, F.array_except(numbers, F.coalesce(gone, F.array().cast("array<int>"))))

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_decontamination": decontamination.OP2_SQL,
     "op3_sentence_spans": passages.OP3_SQL,
+    "op6_sorted_projections": vectors.OP6_SQL,
     "op9_curriculum_mix": mixing.OP9_SQL,
 }

@@ -1,7 +1,9 @@
 import hashlib
+import os
 import re
 from datetime import date
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 llm = pytest.importorskip("inkledger.llm")
 
-from inkledger.llm import decontamination, licences, mixing, passages, private, quality, sharding, simhash, tokens, vectors  # noqa: E402
+from inkledger.llm import decontamination, licences, mixing, passages, private, quality, registry, sharding, simhash, tokens, vectors  # noqa: E402
 from inkledger.llm.common import components  # noqa: E402
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
@@ -205,3 +207,42 @@ def test_quality(spark, docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def clashing(spark, rows):
+    """rows (doc_id, text) with columns that bear the names the operators use inside."""
+    names = ("_line", "_words", "_keys", "_all", "_key", "_gone", "_kept", "_Leaks", "Leaks", "_hits", "_made", "_gaps", "_best", "_start", "_hash", "_piece", "_source", "source", "lang", "pair", "fp")
+    return spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", *[F.lit("x").alias(n) for n in names])
+
+
+def test_clashing_names_and_repeats(spark):
+    rows = [(1, LONG), (1, LONG), (2, None), (None, ""), (3, "word " * 40_000), (4, "CC BY 4.0")]
+    docs = clashing(spark, rows)
+    bench = spark.createDataFrame([(1, LONG)], "item_id bigint, text string")
+    sized = docs.withColumn("size", mixing.words(F.col("text")))
+    for out, new, n in (
+        (licences.scan(docs), {"n_words", "base", "found"}, 6),
+        (passages.drop_repeats(docs), {"n_sentences", "n_removed"}, 6),
+        (decontamination.remove_leaks(docs, bench), set(), 4),
+        (private.pseudonyms(docs), {"finds"}, 6),
+        (sharding.shard_records(docs), {"shard", "slot", "grown_shard"}, 6),
+        (mixing.mix(sized, "size"), {"size", "source_size", "target", "taken", "positions"}, 6),
+        (tokens.count_tokens(docs), {"counts"}, 6),
+        (simhash.keep_one(docs), set(), 4),
+    ):
+        got = out.collect()
+        assert len(got) == n and set(out.columns) == set(docs.columns) | new
+        assert all(r[c] == "x" for r in got for c in docs.columns[2:])
+    empty = docs.limit(0)
+    assert passages.drop_repeats(empty).count() == private.pseudonyms(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    mine = registry.QUERIES[name](spark, sf)
+    columns = sorted(mine.columns)
+    near = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    assert near(mine.select(*columns).collect()) == near(con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall())
