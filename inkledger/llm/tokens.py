@@ -98,7 +98,8 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "
             )
         return pa.array(out, COUNTS)
 
-    return docs.drop("counts").withColumn("counts", counts(*[F.col(f"`{f}`").cast("string") for f in fields]))
+    # of a function that could give another result when run again, the plan has one call only
+    return docs.drop("counts").withColumn("counts", counts.asNondeterministic()(*[F.col(f"`{f}`").cast("string") for f in fields]))
 
 
 def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
