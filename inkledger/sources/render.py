@@ -40,3 +40,22 @@ def readings(truth: DataFrame) -> DataFrame:
     b = F.concat(F.lit("Ledger\n"), joined("b"))
     made = F.array(F.struct(F.lit("tesseract").alias("engine"), a.alias("text")), F.struct(F.lit("easyocr").alias("engine"), b.alias("text")))
     return both.select("stem", F.explode(made).alias("r")).select("stem", "r.*")
+
+
+#: Size of the drawn pages.
+HEIGHT, WIDTH = 24, 40
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, height, width, channels, data): for each supplier a small coloured page with dark strokes."""
+    k, p = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))
+
+    def pixel(i):
+        y, x = F.floor(i / WIDTH), i % WIDTH
+        stroke = ((F.floor(y / 4) + k) % 3 == 0) & x.between(6, 33) & ((x * 7 + y * 5 + k) % 4 != 0)
+        blue = F.when(stroke, 30 + (x + k) % 20).otherwise(200 + (x * 3 + y * 7 + k) % 40)
+        return F.concat(*[F.lpad(F.hex(c.cast("long")), 2, "0") for c in (blue, blue - x % 3, blue - (y % 2) * 5)])
+
+    data = F.unhex(F.array_join(F.transform(p, pixel), ""))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return supplier.select(k.alias("stem"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
