@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkledger.functions import semantics as S
 from inkledger.operators import extraction as E
 from inkledger.operators import fusion, records, scoring
+from inkledger.plans.lineage import checkpoint
 from inkledger.sources.render import readings, truth_rows
 
 ENGINES = ("tesseract", "easyocr", "fused")
@@ -45,7 +46,7 @@ def extract_fields(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    rows = extract_fields(spark, sf_dir)
+    rows = checkpoint(extract_fields(spark, sf_dir))  # parsed once for both
     return (rows.where(F.col("engine") == e).drop("engine") for e in ENGINES[:2])
 
 
@@ -64,7 +65,7 @@ def fuse_provenance(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    rows = extract_fields(spark, sf_dir)
+    rows = checkpoint(extract_fields(spark, sf_dir))  # parsed once for the readings and the fused rows
     a, b = (rows.where(F.col("engine") == e).drop("engine") for e in ENGINES[:2])
     fused = fusion.fuse(a, b).select("stem", F.lit("fused").alias("engine"), "row_pos", *S.FIELDS)
     return scoring.rows_to_text(rows.unionByName(fused), ("stem", "engine"))
