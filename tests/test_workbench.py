@@ -96,6 +96,8 @@ def test_texts_and_truth(spark, tmp_path):
     sinks.write_csv(rows, str(tmp_path / "out"))
     again = spark.read.csv(str(tmp_path / "out"), header=True, quote='"', escape='"')
     assert sorted(r.item for r in again.collect()) == ["Maize meal", 'Sugar, "2kg"']
+    sinks.write_csv(rows, str(tmp_path / "flat"), order="stem", by=None, fields=("stem", "item"))
+    assert spark.read.csv(str(tmp_path / "flat"), header=True).columns == ["stem", "item"]
     sinks.write_json(rows, str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json"), wholetext=True).first().value.startswith('[\n  {\n    "date": "2026-01-03",\n    "item": "Maize meal"')
 
