@@ -48,29 +48,41 @@ def _spans(text: Column, lengths: dict[int, int]) -> Column:
     return F.flatten(F.transform(F.array(numbered), runs))
 
 
+def row_hash(text: Column) -> list[Column]:
+    """128 bits of a text, as two numbers."""
+    return [F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)]
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: dict[int, int] | None = None) -> DataFrame:
-    """Rows (key, gone): the numbers of the sentences that a span repeated from elsewhere covers.
+    """Rows (key, t1, t2, gone): the numbers of the sentences that a span repeated from elsewhere covers.
 
-    Of spans with equal words the first stays: that of the least key (null before all), and
-    in it the earliest. The counts are combined before the shuffle, so a passage that stands
-    in a third of the documents is one row a task; joining it back, AQE may split its key.
+    A document is its key and its text, by a 128-bit hash (t1, t2), so that texts under one
+    key, or none, are told apart. Of spans with equal words the first stays: that of the
+    least key (null before all), under one key of the least hash, and in it the earliest.
+    The counts are combined before the shuffle, so a passage that stands in a third of the
+    documents is one row a task; joining it back, AQE may split its key.
     """
-    spans = docs.select(F.col(f"`{key}`").alias("key"), F.explode(_spans(F.col(f"`{text}`"), lengths or SPANS)).alias("s")).select("key", "s.*")
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("kept")).where("n > 1").drop("n")
-    later = spans.join(firsts, ["h1", "h2"]).where(~F.struct("key", "first").eqNullSafe(F.col("kept")))
-    return later.select("key", F.explode(F.sequence("first", "last")).alias("i")).groupBy("key").agg(F.collect_set("i").alias("gone"))
+    t1, t2 = row_hash(F.col(f"`{text}`"))
+    spans = docs.select(F.col(f"`{key}`").alias("key"), t1.alias("t1"), t2.alias("t2"), F.explode(_spans(F.col(f"`{text}`"), lengths or SPANS)).alias("s")).select("key", "t1", "t2", "s.*")
+    place = F.struct("key", "t1", "t2", "first")
+    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").drop("n")
+    later = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    return later.select("key", "t1", "t2", F.explode(F.sequence("first", "last")).alias("i")).groupBy("key", "t1", "t2").agg(F.collect_set("i").alias("gone"))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: dict[int, int] | None = None) -> DataFrame:
     """docs with `text` freed of repeated passages, and n_sentences and n_removed.
 
-    Rows under one key count as one document read twice: both keep what is first there.
+    Rows equal in key and text count as one document read twice: all keep what is first
+    there and lose the same sentences. Rows that share only the key, or have none, are
+    documents of their own.
     Null and empty texts have no sentences and become ''. Columns of those names are replaced.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    gone, all_, kept, id_ = fresh(docs, "_gone", "_all", "_kept", "_key")
-    found = repeated(docs, key, text, lengths).select(F.col("key").alias(id_), F.col("gone").alias(gone))
-    out = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left").drop(id_)
+    gone, all_, kept, id_, one, two = fresh(docs, "_gone", "_all", "_kept", "_key", "_t1", "_t2")
+    found = repeated(docs, key, text, lengths).select(F.col("key").alias(id_), F.col("t1").alias(one), F.col("t2").alias(two), F.col("gone").alias(gone))
+    t1, t2 = row_hash(F.col(f"`{text}`"))
+    out = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (t1 == F.col(one)) & (t2 == F.col(two)), "left").drop(id_, one, two)
     out = out.withColumn(all_, sentences(F.col(f"`{text}`")))
     numbers = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn(kept, F.array_except(numbers, F.coalesce(gone, F.array().cast("array<int>"))))

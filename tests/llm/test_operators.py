@@ -121,6 +121,18 @@ def test_passages(spark):
     assert got[3].text == got[4].text == "" and got[5].text == got[None].text == "Own. Words."
 
 
+def test_passages_of_rows_without_or_sharing_a_key(spark):
+    passage = "This passage has a few words of its own here. And a second sentence follows it now. And a third one closes it."
+    head = "Unique opening words of a text. Its second sentence is also its own. The third is not found elsewhere."
+    for key in (None, 7):
+        texts = [f"Own. {passage} End one.", f"Own. {passage} End two.", f"Own. {head} Last.", f"Own. {head} Last."]
+        df = spark.createDataFrame([(key, t) for t in texts], "doc_id bigint, text string")
+        got = sorted(passages.drop_repeats(df).collect(), key=lambda r: r.text)
+        assert sorted(r.n_removed for r in got) == [0, 0, 0, 4]  # "Own." and the passage, from one of the two
+        assert [r.text for r in got if head in r.text] == texts[2:]  # equal rows are one document
+        assert sum(passage in r.text for r in got) == 1 and sum("End" in r.text for r in got) == 2
+
+
 def test_tokens(spark, docs):
     encoding, sizes = tokens.encoder(tokens.RANKS, tokens.PIECES)
     for r in tokens.count_tokens(docs).select("text", "counts").collect():
