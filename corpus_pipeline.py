@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkledger.llm import decontamination, mixing, quality, sharding, simhash
+from inkledger.llm import decontamination, mixing, quality, sharding, shingles
 from inkledger.llm.common import checkpoint, fresh, table
 
 
@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates, by 0.8 of their five-word shingles, the document with the least doc_id."""
+    return shingles.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
