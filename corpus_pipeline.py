@@ -46,7 +46,7 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
-#: The classifier and the fingerprints have no SQL form; tests hold run() against a brute-force version.
+#: The classifier and the fingerprints have no SQL form; tests/llm/test_queries.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

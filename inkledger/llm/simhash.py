@@ -142,45 +142,64 @@ def block_keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(signed(m)))) for n, m in enumerate(chosen)])
 
 
+def deal(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows (block, fp, settled, more) as often as there are tile pairs they belong to, with `pair` instead of the block.
+
+    A group is cut into tiles of about `tile` rows that are neighbours in number of ones (where
+    one number has more, also by a hash). A row goes to the pairs of its tile with those tiles
+    that hold numbers of ones within the radius of its own. Settled rows need no comparison
+    with each other; they have tiles of their own, which are paired with the others' only.
+    """
+    more = [c for c in keyed.columns if c not in ("block", "settled")]
+    keyed = keyed.withColumn("ones", F.bit_count("fp"))
+    counts = keyed.groupBy("block", "settled", "ones").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("block").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("settled", "ones", "n"))).alias("by"))
+    groups = groups.where("size > 1")  # a fingerprint alone in its group meets none there
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda s, y: s + y["n"])
+
+    def cut(by: Column) -> Column:
+        """(settled, bin, low, high, splits) of the tiles; there are no more bins than numbers of ones."""
+        before = lambda x: total(F.filter(by, lambda y: (y["settled"] == x["settled"]) & (y["ones"] < x["ones"])))
+        placed = F.transform(by, lambda x: F.struct(x["settled"].alias("settled"), x["ones"].alias("ones"), x["n"].alias("n"), F.floor(before(x) / tile).alias("bin")))
+
+        def tiles(rows: Column) -> Column:
+            def one(t: Column) -> Column:
+                own = F.filter(rows, lambda x: (x["settled"] == t["settled"]) & (x["bin"] == t["bin"]))
+                ones = F.transform(own, lambda x: x["ones"])
+                return F.struct(t["settled"].alias("settled"), t["bin"].alias("bin"), F.array_min(ones).alias("low"), F.array_max(ones).alias("high"), F.ceil(total(own) / tile).cast("int").alias("splits"))
+
+            return F.transform(F.array_distinct(F.transform(rows, lambda x: F.struct(x["settled"].alias("settled"), x["bin"].alias("bin")))), one)
+
+        return F.transform(F.array(placed), tiles)[0]
+
+    whole = (F.col("size") <= tile) & ~F.exists("by", lambda x: x["settled"])
+    groups = groups.select("block", F.when(~whole, cut(F.col("by"))).alias("tiles"))
+    mine = F.filter("tiles", lambda t: (t["settled"] == F.col("settled")) & F.col("ones").between(t["low"], t["high"]))[0]
+    placed = keyed.join(groups, "block").withColumn("mine", mine).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("mine.splits")).cast("int"))
+    near = F.filter("tiles", lambda t: (t["low"] <= F.col("ones") + radius) & (t["high"] >= F.col("ones") - radius) & ~(t["settled"] & F.col("settled")))
+    end = lambda t, s: F.struct(t["settled"].alias("t"), t["bin"].alias("b"), s.alias("s"))
+
+    def pairs(t: Column) -> Column:
+        def named(s: Column) -> Column:
+            a, b = end(F.col("mine"), F.col("own")), end(t, s)
+            return F.xxhash64(F.col("block"), F.least(a, b), F.greatest(a, b))
+
+        return F.transform(F.sequence(F.lit(0), t["splits"] - 1), named)
+
+    return placed.select(*more, F.explode(F.when(F.col("tiles").isNull(), F.array("block")).otherwise(F.flatten(F.transform(near, pairs)))).alias("pair"))
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints `fp` are joined by steps of at most radius bits.
 
     Fingerprints within the radius agree on blocks - radius of the blocks, so only those
-    that share such bits are compared, all with all, in tiles. A group above `tile` is cut
-    into tiles by number of ones and a hash; a pair of tiles is made only if their numbers
-    of ones differ by the radius at most, and holds about two tiles. Each pair of tiles
-    gives a forest of its links, never all of them. More blocks give smaller groups and more
-    copies of each fingerprint (4 blocks: 4 copies, 16 bits; 6 blocks: 20 copies, 32 bits).
+    that share such bits are compared, all with all, in tiles. Each pair of tiles gives a
+    forest of its links, never all of them. More blocks give smaller groups and more copies
+    of each fingerprint (4 blocks: 4 copies, 16 bits; 6 blocks: 20 copies, 32 bits).
     """
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("block"))
-    keyed = keyed.withColumn("ones", F.bit_count("fp"))
-    counts = keyed.groupBy("block", "ones").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("block").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("by"))
-    groups = groups.where("size > 1")  # a fingerprint alone in its group meets none there
-    split = F.greatest(F.lit(1), F.ceil(F.element_at("by", F.col("ones")) / tile)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("tile")), split).cast("int")
-    placed = keyed.join(groups, "block").withColumn("own", F.when(F.col("size") <= tile, F.lit(0)).otherwise(own))
-    mate = F.flatten(
-        F.transform(
-            F.sequence(F.greatest(F.lit(0), F.col("ones") - radius), F.least(F.lit(BITS), F.col("ones") + radius)),
-            lambda q: F.when(
-                F.map_contains_key("by", q),
-                F.transform(
-                    F.sequence(F.lit(0), F.ceil(F.element_at("by", q) / tile).cast("int") - 1),
-                    lambda s: F.xxhash64(
-                        F.col("block"),
-                        F.least(F.struct(F.col("ones").alias("q"), F.col("own").alias("s")), F.struct(q.alias("q"), s.alias("s"))),
-                        F.greatest(F.struct(F.col("ones").alias("q"), F.col("own").alias("s")), F.struct(q.alias("q"), s.alias("s"))),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
-    pairs = F.when(F.col("size") <= tile, F.array("block")).otherwise(mate)
-    dealt = placed.select("fp", F.explode(pairs).alias("pair"))
+    dealt = deal(prints.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("block"), F.lit(False).alias("settled")), radius, tile)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(_compare(radius), "a bigint, b bigint")
+    return dealt.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -202,10 +221,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class: one with the least key, and of rows alike in key any."""
-    _, classes = near_classes(docs, text, key)
     fp, cls, least = fresh(docs, "_fp", "_class", "_least")
-    classes = classes.select(F.col("fp").alias(fp), F.col("class").alias(cls), F.col("component_id").alias(least))
-    marked = docs.withColumn(fp, simhash(F.col(f"`{text}`"))).join(classes, fp)
+    prints, classes = near_classes(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")), "t", "k")
+    named = classes.select(F.col("fp").alias(fp), F.col("class").alias(cls), F.col("component_id").alias(least))
+    marked = docs.withColumn(fp, simhash(F.col(f"`{text}`"))).join(named, fp)
     first = marked.where(F.col(f"`{key}`").eqNullSafe(F.col(least)))
     return first.dropDuplicates([cls]).select(*[F.col(f"`{c}`") for c in docs.columns])
 

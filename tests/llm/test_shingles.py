@@ -41,8 +41,12 @@ def planted():
 def test_near_classes(spark, tile):
     texts = planted()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    ids = df.withColumn("id", shingles._id(shingles.identity("text")))
-    got = {r.doc_id: r.least for r in ids.join(shingles.near_classes(df, tile=tile), "id").collect()}
+    rows, linked = shingles.near_classes(df, tile=tile)
+    of = rows.join(linked, "id", "left").select("key", F.coalesce("class", "id").alias("class")).collect()
+    least = {}
+    for r in sorted(of):
+        least.setdefault(r["class"], r.key)
+    got = {r.key: least[r["class"]] for r in of}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -52,3 +56,13 @@ def test_near_duplicates_stage(spark):
     out = corpus_pipeline.keep_one_of_each(spark, df, "")
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(brute(texts)))
     assert corpus_pipeline.keep_one_of_each(spark, df.limit(0), "").count() == 0
+
+
+def test_repeated_rows_and_keys(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, base), (3, base), (None, base), (3, base + " more"), (None, None), (None, None), (5, ""), (7, "w1 " * 30_000), (7, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_r1", F.lit("x")).withColumn("key", F.lit("x"))
+    out = shingles.keep_one(df)
+    kept = out.collect()
+    assert out.columns == df.columns and all(r._r1 == r.key == "x" for r in kept)
+    assert sorted(r.doc_id for r in kept) == [3, 5, 7, 7] and len({r.text for r in kept}) == 4
