@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table
 
-#: How many consecutive sentences make a span, and how many words it has at least.
-SPANS = {1: 50, 2: 25, 3: 10}
+#: How many consecutive sentences make a span, and how many words it has at least; shorter repeats, such as stock lines, stay.
+SPANS = {1: 25, 2: 15, 3: 15}
 #: A sentence runs to the end of its marks or line breaks and the blanks after them; the sentences of a text, joined, are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r]*|[^.!?\n]+"
 
@@ -48,26 +48,29 @@ def _spans(text: Column, lengths: dict[int, int]) -> Column:
     return F.flatten(F.transform(F.array(numbered), runs))
 
 
-def row_hash(text: Column) -> list[Column]:
-    """128 bits of a text, as two numbers."""
-    return [F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)]
+def row_hash(text: Column) -> Column:
+    """64 bits of a text, to tell rows apart that share a key."""
+    return F.xxhash64(text.isNull(), text)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: dict[int, int] | None = None) -> DataFrame:
-    """Rows (key, t1, t2, gone): the numbers of the sentences that a span repeated from elsewhere covers.
+    """Rows (key, row, gone): the numbers of the sentences that a span repeated from elsewhere covers.
 
-    A document is its key and its text, by a 128-bit hash (t1, t2), so that texts under one
-    key, or none, are told apart. Of spans with equal words the first stays: that of the
-    least key (null before all), under one key of the least hash, and in it the earliest.
-    The counts are combined before the shuffle, so a passage that stands in a third of the
-    documents is one row a task; joining it back, AQE may split its key.
+    A document is its key and its text, by a hash (row), so that texts under one key, or
+    none, are told apart. Of spans with equal words the first stays: that of the least key
+    (null before all), under one key of the least hash, and in it the earliest. The counts
+    are combined before the shuffle, so a passage that stands in a third of the documents is
+    one row a task; joining it back, AQE may split its key.
     """
-    t1, t2 = row_hash(F.col(f"`{text}`"))
-    spans = docs.select(F.col(f"`{key}`").alias("key"), t1.alias("t1"), t2.alias("t2"), F.explode(_spans(F.col(f"`{text}`"), lengths or SPANS)).alias("s")).select("key", "t1", "t2", "s.*")
-    place = F.struct("key", "t1", "t2", "first")
+    found = F.explode(_spans(F.col(f"`{text}`"), lengths or SPANS)).alias("s")
+    spans = docs.select(F.col(f"`{key}`").alias("key"), row_hash(F.col(f"`{text}`")).alias("row"), found)
+    # first and last sentence as one number: a span is a row of few fields, as all of them are shuffled
+    spans = spans.select("key", "row", "s.h1", "s.h2", (F.shiftleft(F.col("s.first").cast("long"), 32) + F.col("s.last")).alias("ends"))
+    place = F.struct("key", "row", "ends")
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").drop("n")
     later = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
-    return later.select("key", "t1", "t2", F.explode(F.sequence("first", "last")).alias("i")).groupBy("key", "t1", "t2").agg(F.collect_set("i").alias("gone"))
+    covered = F.sequence(F.shiftright("ends", 32).cast("int"), F.col("ends").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return later.select("key", "row", F.explode(covered).alias("i")).groupBy("key", "row").agg(F.collect_set("i").alias("gone"))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: dict[int, int] | None = None) -> DataFrame:
@@ -79,10 +82,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     Null and empty texts have no sentences and become ''. Columns of those names are replaced.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    gone, all_, kept, id_, one, two = fresh(docs, "_gone", "_all", "_kept", "_key", "_t1", "_t2")
-    found = repeated(docs, key, text, lengths).select(F.col("key").alias(id_), F.col("t1").alias(one), F.col("t2").alias(two), F.col("gone").alias(gone))
-    t1, t2 = row_hash(F.col(f"`{text}`"))
-    out = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (t1 == F.col(one)) & (t2 == F.col(two)), "left").drop(id_, one, two)
+    gone, all_, kept, id_, row = fresh(docs, "_gone", "_all", "_kept", "_key", "_row")
+    found = repeated(docs, key, text, lengths).select(F.col("key").alias(id_), F.col("row").alias(row), F.col("gone").alias(gone))
+    out = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (row_hash(F.col(f"`{text}`")) == F.col(row)), "left").drop(id_, row)
     out = out.withColumn(all_, sentences(F.col(f"`{text}`")))
     numbers = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn(kept, F.array_except(numbers, F.coalesce(gone, F.array().cast("array<int>"))))
@@ -102,9 +104,9 @@ p AS (SELECT doc_id, i, trim(lower(regexp_replace(part, '[^\p{L}\p{N}]+', ' ', '
 s AS (SELECT doc_id, i, p, length(p) - length(replace(p, ' ', '')) + 1 AS n FROM p WHERE p <> ''),
 w AS (SELECT *, lead(p, 1) OVER o AS p1, lead(p, 2) OVER o AS p2, lead(n, 1) OVER o AS n1, lead(n, 2) OVER o AS n2,
              lead(i, 1) OVER o AS i1, lead(i, 2) OVER o AS i2 FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i, i AS last, p AS k FROM w WHERE n >= 50
-      UNION ALL SELECT doc_id, i, i1, p || chr(10) || p1 FROM w WHERE n + n1 >= 25
-      UNION ALL SELECT doc_id, i, i2, p || chr(10) || p1 || chr(10) || p2 FROM w WHERE n + n1 + n2 >= 10),
+r AS (SELECT doc_id, i, i AS last, p AS k FROM w WHERE n >= 25
+      UNION ALL SELECT doc_id, i, i1, p || chr(10) || p1 FROM w WHERE n + n1 >= 15
+      UNION ALL SELECT doc_id, i, i2, p || chr(10) || p1 || chr(10) || p2 FROM w WHERE n + n1 + n2 >= 15),
 f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM r),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM f WHERE nth > 1)
 SELECT d.doc_id, CAST(len(d.parts) AS BIGINT) AS n_sentences, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.text, '') AS text
