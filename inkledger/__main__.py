@@ -21,8 +21,12 @@ def clean(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Texts to rows, as CSV and as JSON, a folder for each text."""
-    rows = extraction.extract_fields(files.texts(spark, args.input))
+    """Texts to rows, as CSV and as JSON, a folder for each text. Without texts there is nothing to do, as no engine comes along."""
+    found, told = files.ledger_texts(spark, args.input, args.input)
+    print(told)
+    if found is None:
+        return
+    rows = extraction.extract_fields(found)
     sinks.write_csv(rows, f"{args.output}/csv")
     sinks.write_json(rows, f"{args.output}/json")
 

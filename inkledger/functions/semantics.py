@@ -58,3 +58,19 @@ def original_stem(name: Column) -> Column:
 
 def is_image(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).isin(*IMAGE_SUFFIXES)
+
+
+def processed_name(name: Column) -> Column:
+    """The name of the cleaned image of an image file."""
+    return F.concat(F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", ""), F.lit("_clean.png"))
+
+
+def unique_stem(name: Column, at: Column) -> Column:
+    """The time in UTC to a microsecond, and the stem of a file name made safe, or `upload` where nothing of it is left.
+
+    Safe are ASCII letters, digits, dots, dashes and underscores; path marks and blanks become underscores.
+    """
+    plain = F.regexp_replace(F.translate(F.coalesce(name, F.lit("")), "/\\", "  "), r"\A\s+|\s+\z", "")
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s+", "_"), r"[^A-Za-z0-9_.\-]", ""), r"\A[._]+|[._]+\z", "")
+    stem = F.regexp_replace(safe, r"(?<=.)\.[^.]*$", "")
+    return F.concat(F.date_format(at, "yyyyMMdd'T'HHmmssSSSSSS"), F.lit("_"), F.when(stem == "", "upload").otherwise(stem))

@@ -10,57 +10,86 @@ from pyspark.sql import functions as F
 from inkledger.functions import semantics as S
 
 
+def kind(token: Column) -> Column:
+    """d for a date, m for an amount, i for a whole number, else ''. No token is two of them."""
+    return (
+        F.when(~token.rlike(r"(?U)\d"), F.lit("")).when(S.is_whole(token, S.DATE), F.lit("d")).when(S.is_whole(token, S.MONEY), F.lit("m"))
+        .when(S.is_whole(token, S.INT), F.lit("i")).otherwise(F.lit(""))
+    )
+
+
+def read_line(line: Column) -> Column:
+    """(date, tokens): the first date in the line and its tokens (t, kind)."""
+    tokens = F.transform(S.tokens_of(line), lambda t: F.struct(t.alias("t"), kind(t).alias("kind")))
+    return F.struct(S.find_date(line).alias("date"), tokens.alias("tokens"))
+
+
+def _complete(read: Column) -> Column:
+    return (read["date"] != "") & F.exists(read["tokens"], lambda t: t["kind"] == "m") & (F.size(read["tokens"]) >= 3)
+
+
 def complete_line(line: Column) -> Column:
     """A date, an amount and three words or more."""
-    words = S.tokens_of(line)
-    return (S.find_date(line) != "") & F.exists(words, lambda t: S.is_whole(t, S.MONEY)) & (F.size(words) >= 3)
+    return F.transform(F.array(read_line(line)), _complete)[0]
+
+
+def _shape(read: Column) -> Column:
+    return F.when(F.size(F.filter(read, _complete)) >= 2, F.lit("flat")).otherwise(F.lit("tokens"))
 
 
 def shape(lines: Column) -> Column:
-    return F.when(F.size(F.filter(lines, complete_line)) >= 2, F.lit("flat")).otherwise(F.lit("tokens"))
+    return F.transform(F.array(F.transform(lines, read_line)), _shape)[0]
 
 
 def segments(tokens: Column) -> Column:
     """The runs of tokens that begin at a token that is a date; what stands before the first is left out."""
-    at = F.filter(F.transform(tokens, lambda t, i: F.when(S.is_whole(t, S.DATE), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(tokens, lambda t, i: F.when(t["kind"] == "d", i)), lambda i: i.isNotNull())
     cut = lambda a: F.transform(a, lambda i, k: F.slice(tokens, i + 1, F.coalesce(F.get(a, k + 1), F.size(tokens)) - i))
     return F.flatten(F.transform(F.array(at), cut))
 
 
 def classify(words: Column) -> Column:
-    """One row of its tokens: amounts from the end, the first whole number, and the rest as item."""
-    rest = F.filter(words, lambda t: ~S.is_whole(t, S.DATE))
-    money = F.transform(F.filter(rest, lambda t: S.is_whole(t, S.MONEY)), S.norm_money)
-    first_int = F.array_position(F.transform(rest, lambda t: S.is_whole(t, S.INT)), F.lit(True))  # from 1; 0 if none
-    item = F.filter(rest, lambda t, i: ~S.is_whole(t, S.MONEY) & (i + 1 != first_int))
-    return F.struct(
-        S.find_date(F.array_join(words, " ")).alias("date"),
-        F.array_join(item, " ").alias("item"),
-        F.coalesce(F.get(rest, (first_int - 1).cast("int")), F.lit("")).alias("qty"),
-        F.coalesce(F.get(money, F.size(money) - 2), F.lit("")).alias("price"),
-        F.coalesce(F.get(money, F.size(money) - 1), F.lit("")).alias("total"),
-    )
+    """One row of its tokens: amounts from the end, the first whole number, and the rest as item; `line` is the tokens as written."""
+
+    def row(rest: Column) -> Column:
+        money = F.transform(F.filter(rest, lambda t: t["kind"] == "m"), lambda t: S.norm_money(t["t"]))
+        first_int = F.array_position(F.transform(rest, lambda t: t["kind"]), F.lit("i"))  # from 1; 0 if none
+        item = F.transform(F.filter(rest, lambda t, i: (t["kind"] != "m") & (i + 1 != first_int)), lambda t: t["t"])
+        line = F.array_join(F.transform(words, lambda t: t["t"]), " ")
+        return F.struct(
+            S.find_date(line).alias("date"),
+            F.array_join(item, " ").alias("item"),
+            F.coalesce(F.get(rest, (first_int - 1).cast("int"))["t"], F.lit("")).alias("qty"),
+            F.coalesce(F.get(money, F.size(money) - 2), F.lit("")).alias("price"),
+            F.coalesce(F.get(money, F.size(money) - 1), F.lit("")).alias("total"),
+            line.alias("line"),
+        )
+
+    return F.transform(F.array(F.filter(words, lambda t: t["kind"] != "d")), row)[0]
 
 
 def rows_of(text: Column) -> Column:
     """Array of rows of a text, in order: from whole lines if two lines at least are complete, else from runs of tokens."""
 
-    def parse(lines: Column) -> Column:
-        flat = F.transform(F.filter(lines, lambda x: S.find_date(x) != ""), S.tokens_of)
-        loose = segments(F.flatten(F.transform(lines, S.tokens_of)))
-        return F.when(shape(lines) == "flat", flat).otherwise(loose)
+    def parse(read: Column) -> Column:
+        flat = F.transform(F.filter(read, lambda x: x["date"] != ""), lambda x: x["tokens"])
+        loose = segments(F.flatten(F.transform(read, lambda x: x["tokens"])))
+        return F.when(_shape(read) == "flat", flat).otherwise(loose)
 
-    made = F.filter(F.transform(F.flatten(F.transform(F.array(S.lines_of(text)), parse)), classify), lambda r: r["date"] != "")
-    return F.transform(made, lambda r, i: F.struct(i.alias("row_pos"), *[r[f].alias(f) for f in S.FIELDS]))
+    read = F.array(F.transform(S.lines_of(text), read_line))
+    made = F.filter(F.transform(F.flatten(F.transform(read, parse)), classify), lambda r: r["date"] != "")
+    return F.transform(made, lambda r, i: F.struct(i.alias("row_pos"), *[r[f].alias(f) for f in (*S.FIELDS, "line")]))
 
 
 def extract_fields(texts: DataFrame, text: str = "text", name_item: Callable[[Column], Column] | None = None) -> DataFrame:
     """The other columns of texts with row_pos and the five fields, one row for each ledger row; '' where a field is missing.
 
-    `name_item` gives an item, from the row's text, where none is left; without it such items are ''.
+    `name_item` gives an item, from the row's text as written, where none is left; without it
+    such items are ''.
     """
-    out = texts.withColumn("_r", F.explode(rows_of(F.col(text)))).drop(text).select("*", "_r.*").drop("_r")
-    if name_item is None:
-        return out
-    line = F.concat_ws(" ", *[F.col(f) for f in S.FIELDS])
-    return out.withColumn("item", F.when(F.col("item") == "", F.coalesce(name_item(line), F.lit(""))).otherwise(F.col("item")))
+    out = texts.withColumn("_r", F.explode(rows_of(F.col(text)))).drop(text)
+    item = F.col("_r.item")
+    if name_item is not None:
+        item = F.when(item == "", F.coalesce(name_item(F.col("_r.line")), F.lit(""))).otherwise(item)
+    fields = [item.alias(f) if f == "item" else F.col(f"_r.{f}").alias(f) for f in ("row_pos", *S.FIELDS)]
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_r"], *fields)

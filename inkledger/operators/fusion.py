@@ -14,20 +14,21 @@ def align(skeleton: DataFrame, values: DataFrame) -> DataFrame:
     """Each skeleton row (stem, row_pos, fields) with a partner struct `other`, null if there is none.
 
     The k-th row of a date meets the k-th of that date; of the rows left on both sides the
-    j-th meets the j-th. Partners left over are dropped.
+    j-th meets the j-th. Partners left over are dropped. Both sides are dealt by ledger once:
+    every window below holds the ledger among its keys, so none of them shuffles again.
     """
-    rank = Window.partitionBy("stem", "nd").orderBy("row_pos")
-    place = Window.partitionBy("stem").orderBy("row_pos")
     row = F.struct("row_pos", *S.FIELDS)
-    a = skeleton.withColumn("nd", S.norm_date(F.col("date"))).withColumn("k", F.row_number().over(rank))
-    b = values.withColumn("nd", S.norm_date(F.col("date"))).withColumn("k", F.row_number().over(rank)).select("stem", "nd", "k", row.alias("other"))
-    dated = a.join(b, ["stem", "nd", "k"], "left")
-    rest = b.join(a.select("stem", "nd", "k"), ["stem", "nd", "k"], "left_anti").select("stem", "other")
-    rest = rest.withColumn("j", F.row_number().over(Window.partitionBy("stem").orderBy("other.row_pos"))).withColumnRenamed("other", "spare")
+    side = lambda df, first: df.select("stem", row.alias("r"), S.norm_date(F.col("date")).alias("nd"), F.lit(first).alias("first"))
+    n = int(skeleton.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = side(skeleton, True).unionByName(side(values, False)).repartition(n, "stem")
+    met = lambda *keys: F.max(F.when(~F.col("first"), F.col("r"))).over(Window.partitionBy("stem", *keys))
+    ranked = both.withColumn("k", F.row_number().over(Window.partitionBy("stem", "nd", "first").orderBy("r.row_pos")))
+    dated = ranked.withColumn("size", F.count("*").over(Window.partitionBy("stem", "nd", "k"))).withColumn("other", F.when(F.col("size") > 1, met("nd", "k")))
     # rows with a partner by date are not numbered: they have no place among the rows left
-    j = F.when(F.col("other").isNull(), F.sum(F.col("other").isNull().cast("int")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = dated.withColumn("j", j).join(rest, ["stem", "j"], "left")
-    return placed.select("stem", "row_pos", *S.FIELDS, F.coalesce("other", "spare").alias("other"))
+    left = F.col("size") == 1
+    j = F.when(left, F.sum(left.cast("int")).over(Window.partitionBy("stem", "first").orderBy("r.row_pos").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = dated.withColumn("j", j).withColumn("spare", F.when(left, met("j")))
+    return placed.where("first").select("stem", "r.*", F.coalesce("other", "spare").alias("other"))
 
 
 def choose_numeric(a: Column, b: Column, valid: Callable[[Column], Column]) -> Column:

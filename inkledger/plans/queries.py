@@ -93,7 +93,13 @@ def truth_left_join(spark, sf_dir):
     """Whole texts against their truth, which every fourth stem lacks: those score null."""
     truth = scoring.rows_to_text(truth_rows(spark, sf_dir)).where("stem % 4 <> 0")
     texts = render_ledgers(spark, sf_dir)
-    return scoring.score(texts, truth, texts.select("stem").distinct(), ENGINES[:2]).select("stem", "engine", "cer")
+    return scoring.score(texts, truth, texts.select("stem").distinct(), ENGINES[:2])
+
+
+def partial_summary(spark, sf_dir):
+    """Means of scores that are null for every fourth stem."""
+    means = scoring.summary(truth_left_join(spark, sf_dir))
+    return means.select("engine", F.round("mean_cer", 9).alias("mean_cer"), F.round("mean_wer", 9).alias("mean_wer"), "n_images")
 
 
 def records_save(spark, sf_dir):
@@ -105,6 +111,46 @@ def export_name(spark, sf_dir):
     return records.export_name(records_save(spark, sf_dir))
 
 
+def records_export(spark, sf_dir):
+    """All records as the objects of one JSON array."""
+    return records.export_json(checkpoint(records_save(spark, sf_dir)))
+
+
+def _forms(spark, sf_dir):
+    """A form for each ledger, with a cell for each field of its rows; some forms count wrong, some rows are blank."""
+    rows = truth_rows(spark, sf_dir)
+    blank = (F.col("stem") + F.col("row_pos")) % 3 == 0
+    cells = F.flatten(F.collect_list(F.array(*[F.struct(F.concat(F.lit(f"{f}_"), F.col("row_pos").cast("string")).alias("k"), F.when(blank, " ").otherwise(F.concat(F.lit(" "), f)).alias("v")) for f in S.FIELDS])))
+    n = F.when(F.col("stem") % 7 == 0, "many").when(F.col("stem") % 5 == 0, F.lit(" 2 ")).otherwise(F.count("*").cast("string"))
+    return rows.groupBy("stem").agg(F.concat(F.col("stem").cast("string"), F.lit(".png ")).alias("source_file"), n.alias("num_rows"), F.map_from_entries(cells).alias("cells"))
+
+
+def form_corrections(spark, sf_dir):
+    return records.corrections(_forms(spark, sf_dir))
+
+
+def corrections_save(spark, sf_dir):
+    """Rows of forms as numbered records, those without any field passed over."""
+    rows = records.filled(form_corrections(spark, sf_dir)).withColumn("stem", F.regexp_extract("source_file", "[0-9]+", 0).cast("bigint"))
+    return records.number(rows, ["stem", "i"], "2026-01-01T00:00:00+00:00").select("id", *S.FIELDS, "source_file")
+
+
+def unique_stem(spark, sf_dir):
+    """Names of uploads, good and bad, at the times of orders."""
+    k = F.col("o_orderkey")
+    name = F.get(F.array(*map(F.lit, ("my scan.png", "../../etc/passwd", "..", "", "a/b c.tar.gz", "_x_.JPG", "???.png"))), (k % 7).cast("int"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", S.unique_stem(name, F.timestamp_seconds(F.lit(1_700_000_000) + k)).alias("stem"), S.processed_name(name).alias("processed"))
+
+
+def choose_date(spark, sf_dir):
+    """Dates of the two readings of a row, with the winner."""
+    rows = truth_rows(spark, sf_dir)
+    a = F.when(F.col("stem") % 5 == 0, F.translate("date", "-", "/")).otherwise(F.col("date"))
+    b = F.when(F.col("stem") % 3 == 0, "").when(F.col("stem") % 4 == 0, F.substring("date", 1, 8)).otherwise(F.col("date"))
+    return rows.withColumn("c", fusion.choose_date(a, b)).select("stem", "row_pos", "c.value", "c.winner")
+
+
 def image_names(spark, sf_dir):
     """Names of scans, made from ledgers' numbers: which are images, and the stems of cleaned ones."""
     suffix = F.get(F.array(*map(F.lit, ("png", "JPG", "txt", "webp", "tiff", "csv"))), (F.col("o_orderkey") % 6).cast("int"))
@@ -124,10 +170,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         render_ledgers, line_split, token_kinds, detect_shape, extract_fields, align_rows, fuse_rows, fuse_provenance, rows_to_text,
-        fusion_scores, engine_summary, best_engine, truth_left_join, records_save, export_name, image_names, documents_dates,
+        fusion_scores, engine_summary, best_engine, truth_left_join, partial_summary, records_save, export_name, records_export,
+        form_corrections, corrections_save, unique_stem, choose_date, image_names, documents_dates,
     )
 }
 
+# fixed values
 _DATE = r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
 _MONEY = r"[£$€]?\d+[.,]\d{1,2}"
 _CTES = rf"""
@@ -168,15 +216,15 @@ parsed AS (
          coalesce(max(tok) FILTER (WHERE is_int AND nth_int = 1), '') AS qty,
          list(replace(regexp_extract(tok, '\d+[.,]\d{{1,2}}'), ',', '.') ORDER BY line_pos, tok_pos) FILTER (WHERE is_money AND NOT is_date) AS m
   FROM ranked GROUP BY ALL),
-extracted AS (
+extracted AS MATERIALIZED (
   SELECT stem, engine, CAST(row_number() OVER (PARTITION BY stem, engine ORDER BY seg) - 1 AS INT) AS row_pos, date, item, qty,
          CASE WHEN len(m) >= 2 THEN m[len(m) - 1] ELSE '' END AS price, CASE WHEN len(m) >= 1 THEN m[len(m)] ELSE '' END AS total
   FROM parsed WHERE date <> ''),
-dated AS (SELECT *, regexp_replace(date, '[./]', '-', 'g') AS nd, row_number() OVER (PARTITION BY stem, engine, regexp_replace(date, '[./]', '-', 'g') ORDER BY row_pos) AS k FROM extracted),
-ta AS (SELECT * FROM dated WHERE engine = 'tesseract'), tb AS (SELECT * FROM dated WHERE engine = 'easyocr'),
-la AS (SELECT stem, row_pos, row_number() OVER (PARTITION BY stem ORDER BY row_pos) AS j FROM ta WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k)),
-lb AS (SELECT stem, row_pos, row_number() OVER (PARTITION BY stem ORDER BY row_pos) AS j FROM tb WHERE NOT EXISTS (SELECT 1 FROM ta WHERE tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k)),
-pairs AS (
+dated AS MATERIALIZED (SELECT *, regexp_replace(date, '[./]', '-', 'g') AS nd, row_number() OVER (PARTITION BY stem, engine, regexp_replace(date, '[./]', '-', 'g') ORDER BY row_pos) AS k FROM extracted),
+ta AS MATERIALIZED (SELECT * FROM dated WHERE engine = 'tesseract'), tb AS MATERIALIZED (SELECT * FROM dated WHERE engine = 'easyocr'),
+la AS MATERIALIZED (SELECT stem, row_pos, row_number() OVER (PARTITION BY stem ORDER BY row_pos) AS j FROM ta WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k)),
+lb AS MATERIALIZED (SELECT stem, row_pos, row_number() OVER (PARTITION BY stem ORDER BY row_pos) AS j FROM tb WHERE NOT EXISTS (SELECT 1 FROM ta WHERE tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k)),
+pairs AS MATERIALIZED (
   SELECT ta.stem, ta.row_pos, coalesce(tb.row_pos, lb.row_pos) AS other_pos
   FROM ta LEFT JOIN tb ON tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k
   LEFT JOIN la ON la.stem = ta.stem AND la.row_pos = ta.row_pos LEFT JOIN lb ON lb.stem = la.stem AND lb.j = la.j),
@@ -194,7 +242,7 @@ chosen AS (
   SELECT stem, row_pos, CASE date_source WHEN 'easyocr' THEN od ELSE date END AS date, item, CASE qty_source WHEN 'easyocr' THEN oq ELSE qty END AS qty,
          CASE price_source WHEN 'easyocr' THEN op ELSE price END AS price, CASE total_source WHEN 'easyocr' THEN ot ELSE total END AS total,
          date_source, qty_source, price_source, total_source FROM won),
-fused AS (
+fused AS MATERIALIZED (
   SELECT stem, row_pos, date, CASE WHEN price <> '' AND total <> '' THEN regexp_replace(item, '((^|\s+)(\d+|{_MONEY}))+$', '') ELSE item END AS item,
          qty, price, total, date_source, qty_source, price_source, total_source FROM chosen),
 texts AS (
@@ -207,6 +255,20 @@ coded AS (
          list_filter(string_split(trim(regexp_replace(truth, '\s\s+', ' ', 'g')), ' '), lambda w: w <> '') AS tw
   FROM truth_texts t CROSS JOIN (SELECT unnest(['tesseract', 'easyocr', 'fused']) AS engine) e LEFT JOIN texts x ON x.stem = t.stem AND x.engine = e.engine),
 numbered AS (SELECT *, list_distinct(list_concat(pw, tw)) AS v FROM coded),
+whole AS (
+  SELECT r.stem, r.engine, CASE WHEN r.stem % 4 <> 0 THEN trim(truth) END AS t, rtrim(text, chr(10)) AS p,
+         list_filter(string_split(regexp_replace(text, '\s\s+', ' ', 'g'), ' '), lambda w: w <> '') AS pw,
+         list_filter(string_split(trim(truth), ' '), lambda w: w <> '') AS tw
+  FROM readings r JOIN truth_texts t ON r.stem = t.stem),
+whole_scores AS (
+  SELECT stem, engine, CASE WHEN t IS NOT NULL THEN least(1.0::DOUBLE, levenshtein(t, p)::DOUBLE / length(t)) END AS cer,
+         CASE WHEN t IS NOT NULL THEN least(1.0::DOUBLE, levenshtein(array_to_string(list_transform(tw, lambda w: chr((32 + list_position(v, w))::INT)), ''), array_to_string(list_transform(pw, lambda w: chr((32 + list_position(v, w))::INT)), ''))::DOUBLE / len(tw)) END AS wer
+  FROM (SELECT *, list_distinct(list_concat(pw, tw)) AS v FROM whole)),
+forms AS (
+  SELECT stem, stem || '.png' AS source_file, row_pos AS i, CASE WHEN (stem + row_pos) % 3 = 0 THEN '' ELSE date END AS date, CASE WHEN (stem + row_pos) % 3 = 0 THEN '' ELSE item END AS item,
+         CASE WHEN (stem + row_pos) % 3 = 0 THEN '' ELSE qty END AS qty, CASE WHEN (stem + row_pos) % 3 = 0 THEN '' ELSE price END AS price, CASE WHEN (stem + row_pos) % 3 = 0 THEN '' ELSE total END AS total
+  FROM truth WHERE stem % 7 <> 0 AND (stem % 5 <> 0 OR row_pos < 2)
+  UNION ALL SELECT stem, stem || '.png', 1, '', '', '', '', '' FROM truth WHERE stem % 7 <> 0 AND stem % 5 = 0 GROUP BY stem HAVING count(*) = 1),
 scores AS (
   SELECT stem, engine, CASE WHEN t = '' AND p = '' THEN 0.0 WHEN t = '' THEN 1.0 ELSE least(1.0::DOUBLE, levenshtein(t, p)::DOUBLE / length(t)) END AS cer,
          CASE WHEN len(tw) = 0 AND len(pw) = 0 THEN 0.0 WHEN len(tw) = 0 THEN 1.0
@@ -233,14 +295,28 @@ _BODY = {
     "fusion_scores": "SELECT * FROM scores",
     "engine_summary": "SELECT engine, round(avg(cer), 9) AS mean_cer, round(avg(wer), 9) AS mean_wer, count(*) AS n_images FROM scores GROUP BY engine",
     "best_engine": "SELECT engine AS best_engine FROM scores GROUP BY engine ORDER BY avg(cer), CASE engine WHEN 'tesseract' THEN 0 WHEN 'easyocr' THEN 1 ELSE 2 END LIMIT 1",
-    "truth_left_join": """SELECT r.stem, r.engine, CASE WHEN r.stem % 4 <> 0 THEN least(1.0::DOUBLE, levenshtein(trim(truth), rtrim(text, chr(10)))::DOUBLE / length(trim(truth))) END AS cer
-        FROM readings r JOIN truth_texts t ON r.stem = t.stem""",
+    "truth_left_join": "SELECT * FROM whole_scores",
+    "partial_summary": "SELECT engine, round(avg(cer), 9) AS mean_cer, round(avg(wer), 9) AS mean_wer, count(*) AS n_images FROM whole_scores WHERE cer IS NOT NULL GROUP BY engine",
+    "form_corrections": "SELECT source_file, i, date, item, qty, price, total FROM forms",
+    "corrections_save": "SELECT row_number() OVER (ORDER BY stem, i) AS id, date, item, qty, price, total, source_file FROM forms WHERE concat(date, item, qty, price, total) <> ''",
+    "records_export": """SELECT id, CASE WHEN id = min(id) OVER () THEN '[' || chr(10) ELSE '' END || '  {' || chr(10) || '    "id": ' || id || ',' || chr(10) || '    "date": ' || CAST(to_json(date) AS VARCHAR) || ',' || chr(10)
+        || '    "item": ' || CAST(to_json(item) AS VARCHAR) || ',' || chr(10) || '    "qty": ' || CAST(to_json(qty) AS VARCHAR) || ',' || chr(10) || '    "price": ' || CAST(to_json(price) AS VARCHAR) || ',' || chr(10)
+        || '    "total": ' || CAST(to_json(total) AS VARCHAR) || ',' || chr(10) || '    "source_file": ' || CAST(to_json(source_file) AS VARCHAR) || ',' || chr(10) || '    "created_at": ' || CAST(to_json(created_at) AS VARCHAR) || chr(10)
+        || '  }' || CASE WHEN id = max(id) OVER () THEN chr(10) || ']' ELSE ',' END AS json FROM records""",
+    "choose_date": f"""SELECT stem, row_pos, CASE winner WHEN 'easyocr' THEN b ELSE a END AS value, winner FROM (
+        SELECT stem, row_pos, a, b, CASE WHEN a = b THEN 'agree' WHEN regexp_full_match(b, '{_DATE}') THEN 'easyocr' ELSE 'tesseract' END AS winner
+        FROM (SELECT stem, row_pos, CASE WHEN stem % 5 = 0 THEN replace(date, '-', '/') ELSE date END AS a, CASE WHEN stem % 3 = 0 THEN '' WHEN stem % 4 = 0 THEN left(date, 8) ELSE date END AS b FROM truth))""",
     "records_save": "SELECT * FROM records",
     "export_name": """SELECT CASE count(DISTINCT source_file) WHEN 0 THEN 'records' WHEN 1 THEN min(regexp_replace(source_file, '\\.[^.]+$', '')) ELSE 'records_multiple_sources' END AS name,
-        count(*) AS n_records FROM records""",
+        count(*) AS n_records,
+        'Exported ' || count(*) || ' record(s) as ' || CASE count(DISTINCT source_file) WHEN 0 THEN 'records' WHEN 1 THEN min(regexp_replace(source_file, '\\.[^.]+$', '')) ELSE 'records_multiple_sources' END
+        || '.csv' || CASE count(DISTINCT source_file) WHEN 1 THEN ' (source: ' || min(source_file) || ')' ELSE '' END || '.' AS message FROM records""",
 }
 ORACLES = {name: _CTES + body for name, body in _BODY.items()}
 ORACLES["image_names"] = r"""
 SELECT o_orderkey, name, regexp_matches(lower(name), '\.(png|jpg|jpeg|tif|tiff|bmp|webp)$') AS is_image, regexp_replace(regexp_replace(name, '\.[^.]+$', ''), '_clean$', '') AS stem
 FROM (SELECT o_orderkey, 'scan_' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '_clean' ELSE '' END || '.' || ['png', 'JPG', 'txt', 'webp', 'tiff', 'csv'][o_orderkey % 6 + 1] AS name FROM orders)"""
 ORACLES["documents_dates"] = rf"""SELECT doc_id, regexp_extract(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g'), '\b{_DATE}\b') AS date FROM documents"""
+ORACLES["unique_stem"] = r"""
+SELECT o_orderkey, strftime(make_timestamp((1700000000 + o_orderkey) * 1000000), '%Y%m%dT%H%M%S%f') || '_' || ['my_scan', 'etc_passwd', 'upload', 'upload', 'a_b_c.tar', 'x_', 'png'][o_orderkey % 7 + 1] AS stem,
+       ['my scan', '../../etc/passwd', '.', '', 'a/b c.tar', '_x_', '???'][o_orderkey % 7 + 1] || '_clean.png' AS processed FROM orders"""

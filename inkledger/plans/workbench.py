@@ -37,7 +37,7 @@ def side_by_side(spark, sf_dir):
 
 
 def rate_table(spark, sf_dir):
-    means = scoring.summary(Q.fusion_scores(spark, sf_dir))
+    means = scoring.summary(scoring.rounded(Q.fusion_scores(spark, sf_dir)))
     return reports.rate_table(means, scoring.best(means))
 
 
@@ -58,8 +58,7 @@ def cached_texts(spark, sf_dir):
     texts = Q.render_ledgers(spark, sf_dir)
     stems = texts.select("stem").distinct()
     cached, missing = engines.with_cache(stems, texts.where("engine = 'tesseract' OR stem % 5 <> 0"), Q.ENGINES[:2])
-    state = cached.groupBy("stem").agg(F.count("*").alias("n_texts"))
-    return state.unionByName(missing.withColumn("n_texts", F.lit(0).cast("bigint")))
+    return cached.unionByName(missing.withColumns({"engine": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}))
 
 
 def blank_row_default(spark, sf_dir):
@@ -72,8 +71,7 @@ def blank_row_default(spark, sf_dir):
 def truth_semi_join(spark, sf_dir):
     """Scores of fusion of the ledgers that have truth, which every fourth lacks."""
     truth = Q.truth_rows(spark, sf_dir).where("stem % 4 <> 0")
-    scores = engines.score_fusion(Q.render_ledgers(spark, sf_dir), truth, truth.select("stem").distinct())
-    return scores.select("stem", "engine", (scores["cer"] == 0).alias("exact"))
+    return engines.score_fusion(Q.render_ledgers(spark, sf_dir), truth, truth.select("stem").distinct())
 
 
 def choose_numeric(spark, sf_dir):
@@ -130,11 +128,11 @@ _BODY = {
     "rate_table": """SELECT CAST(CASE engine WHEN 'tesseract' THEN 0 WHEN 'easyocr' THEN 1 ELSE 2 END AS INT) AS place,
         rpad(engine, 12, ' ') || ' ' || lpad(printf('%.4f', c), 10, ' ') || ' ' || lpad(printf('%.4f', w), 10, ' ') || ' ' || lpad(CAST(n AS VARCHAR), 4, ' ')
         || CASE WHEN row_number() OVER (ORDER BY c, CASE engine WHEN 'tesseract' THEN 0 WHEN 'easyocr' THEN 1 ELSE 2 END) = 1 THEN '  <-- best' ELSE '' END AS line
-        FROM (SELECT engine, avg(cer) AS c, avg(wer) AS w, count(*) AS n FROM scores GROUP BY engine)""",
-    "cached_texts": "SELECT stem, CAST(CASE WHEN stem % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_texts FROM readings GROUP BY stem",
+        FROM (SELECT engine, avg(round_even(cer, 6)) AS c, avg(round_even(wer, 6)) AS w, count(*) AS n FROM scores GROUP BY engine)""",
+    "cached_texts": "SELECT stem, engine, text FROM readings WHERE stem % 5 <> 0 UNION ALL SELECT DISTINCT stem, NULL, NULL FROM readings WHERE stem % 5 = 0",
     "blank_row_default": """SELECT stem, row_pos, date, item, qty, price, total, 'fused (tesseract + easyocr)' AS used_engine FROM extracted WHERE engine = 'easyocr'
         UNION ALL SELECT DISTINCT stem, 0, '', '', '', '', '', 'none (manual entry)' FROM readings WHERE stem NOT IN (SELECT stem FROM extracted WHERE engine = 'easyocr')""",
-    "truth_semi_join": "SELECT stem, engine, cer = 0 AS exact FROM scores WHERE stem % 4 <> 0",
+    "truth_semi_join": "SELECT stem, engine, round_even(cer, 6) AS cer, round_even(wer, 6) AS wer FROM scores WHERE stem % 4 <> 0",
     "choose_numeric": r"""SELECT stem, row_pos, CASE winner WHEN 'easyocr' THEN b ELSE a END AS value, winner FROM (
         SELECT stem, row_pos, a, b, CASE WHEN a = b THEN 'agree' WHEN regexp_full_match(b, '\d+\.\d{1,2}') THEN 'easyocr' WHEN regexp_full_match(a, '\d+\.\d{1,2}') THEN 'tesseract'
                WHEN b <> '' THEN 'easyocr' ELSE 'tesseract' END AS winner

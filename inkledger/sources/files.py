@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,3 +94,14 @@ def field_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = _or_empty(cells, f"name string, at bigint, {schema}", spark, False)
     place = F.row_number().over(Window.partitionBy("name").orderBy("at")) - 1
     return rows.select(own(F.col("name")).alias("stem"), place.alias("row_pos"), *[F.coalesce(f, F.lit("")).alias(f) for f in S.FIELDS]), stems
+
+
+def ledger_texts(spark: SparkSession, texts_path: str, images_path: str, read: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame | None, str]:
+    """((stem, text), what was chosen): the folder's texts if there are any, else what `read` makes of the images, else nothing."""
+    found = texts(spark, texts_path)
+    if not found.isEmpty():
+        return found, f"texts of {texts_path}"
+    images = image_files(spark, images_path)
+    if read is None or images.isEmpty():
+        return None, f"nothing to do: no texts in {texts_path} and no images to read in {images_path}"
+    return read(images).select("stem", "text"), f"no texts in {texts_path}: images of {images_path} are read"

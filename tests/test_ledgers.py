@@ -1,7 +1,9 @@
+import json
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from inkledger.operators import extraction, fusion, records, scoring
 from inkledger.plans import queries
@@ -73,11 +75,77 @@ def test_records(spark, tmp_path):
     saved = spark.read.parquet(str(tmp_path / "records"))
     assert sorted(r.id for r in saved.collect()) == [1, 2, 3, 4]
     assert records.export_name(saved).first().name == "x"
-    assert records.json_array(saved).first().json.startswith('[{"id":1,"date":"2026-01-03"')
     assert records.export_name(saved.limit(0)).first().name == "records"
+    told = records.export(saved, str(tmp_path / "json"), "json").first()
+    assert told.message == "Exported 4 record(s) as x.json (source: x.png)."
+    parts = sorted((tmp_path / "json").glob("part-*.txt"))
+    made = json.loads("".join(p.read_text() for p in parts))
+    assert [r["id"] for r in made] == [1, 2, 3, 4] and list(made[0]) == list(records.COLUMNS) and made[1]["item"] == "b"
+    assert parts[0].read_text().startswith('[\n  {\n    "id": 1,\n    "date": "2026-01-03"')
+    records.export(saved, str(tmp_path / "csv"), "csv")
+    back = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert [r.id for r in back.collect()] == ["1", "2", "3", "4"] and tuple(back.columns) == records.COLUMNS
+    with pytest.raises(ValueError, match="unknown export format"):
+        records.export(saved, str(tmp_path / "xml"), "xml")
+
+
+def test_store_and_forms(spark):
+    for _ in range(2):
+        records.create_store(spark, "ledger_records")
+    assert tuple(spark.table("ledger_records").columns) == records.COLUMNS
+    spark.sql("DROP TABLE ledger_records")
+    forms = [("a.png ", "2", {"date_0": " 2026-01-03", "item_1": "é", "date_2": "x"}), ("b.png", "two", {"date_0": "x"}), ("c.png", "-1", {}), ("d.png", None, {})]
+    got = records.corrections(spark.createDataFrame(forms, "source_file string, num_rows string, cells map<string,string>")).collect()
+    assert [(r.source_file, r.i, r.date, r.item, r.qty) for r in got] == [("a.png", 0, "2026-01-03", "", ""), ("a.png", 1, "", "é", "")]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_errors_of_long_texts(spark):
+    """Numbers of words that stand on both sides of the surrogates and beyond the basic plane."""
+    many = [f"w{k}" for k in range(70_000)]
+    base = " ".join(many)
+    for cut in (55_290, 65_500):
+        truth, pred = many[cut : cut + 30], many[cut : cut + 10] + ["other"] + many[cut + 12 : cut + 30]
+        df = spark.createDataFrame([(" ".join(pred), " ".join(truth))], "p string, t string")
+        assert df.select(scoring.wer(df.p, df.t)).first()[0] == pytest.approx(distance(truth, pred) / 30)
+    code = spark.createDataFrame([(k,) for k in (1, 55_264, 55_265, 65_505, 999_999)], "k int").select(scoring._character(F.col("k")).alias("c")).collect()
+    assert len({r.c for r in code}) == 5 and all(len(r.c) == 1 for r in code) and len(base) > 0
+    words = many[:24_000]
+    df = spark.createDataFrame([(" ".join(words[100:]), " ".join(words))], "p string, t string")
+    assert df.select(scoring.wer(df.p, df.t)).first()[0] == pytest.approx(100 / 24_000)
+
+
+def test_naming_of_empty_items(spark):
+    df = spark.createDataFrame([("s", "2026-01-03 1 2,50 €5.00\n2026-01-04 Tea 1 2.50 2.50")], "stem string, text string")
+    rows = extraction.extract_fields(df, name_item=lambda line: F.concat(F.lit("<"), line, F.lit(">"))).orderBy("row_pos").collect()
+    assert [r["item"] for r in rows] == ["<2026-01-03 1 2,50 €5.00>", "Tea"]
+
+
+def test_golden_ledger(spark):
+    text = """Shop Ledger — January
+Date Item Qty Price Total
+2026-01-03 Maize meal 2 3.50 7.00
+2026-01-05 Cooking oil 1 4.25 4.25
+2026-01-09 Sugar 2kg 3 2.10 6.30
+2026-01-12 Bread 5 1.15 5.75
+2026-01-15 Soap bar 4 0.90 3.60
+2026-01-20 Tea leaves 1 2.75 2.75"""
+    expected = [
+        ("2026-01-03", "Maize meal", "2", "3.50", "7.00"), ("2026-01-05", "Cooking oil", "1", "4.25", "4.25"), ("2026-01-09", "Sugar 2kg", "3", "2.10", "6.30"),
+        ("2026-01-12", "Bread", "5", "1.15", "5.75"), ("2026-01-15", "Soap bar", "4", "0.90", "3.60"), ("2026-01-20", "Tea leaves", "1", "2.75", "2.75"),
+    ]
+    assert parse(spark, text) == expected
 
 
-@pytest.mark.parametrize("name", ("detect_shape", "align_rows", "fuse_rows", "truth_left_join", "records_save", "image_names"))
+@pytest.mark.parametrize("name", ("detect_shape", "align_rows", "fuse_rows", "truth_left_join", "partial_summary", "records_save", "export_name", "records_export", "form_corrections", "corrections_save", "unique_stem", "choose_date", "image_names"))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):

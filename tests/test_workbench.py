@@ -3,6 +3,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkledger.operators import engines, imaging
 from inkledger.plans import workbench
@@ -111,6 +112,32 @@ def test_engines(spark):
     assert got == {("a", "one"): "new!", ("b", "one"): "B!", ("a", "two"): "A!", ("b", "two"): "B!"}
 
 
+def test_images_to_rows(spark, tmp_path):
+    """Cleaned where no cleaned image is there, read by both engines, fused and scored."""
+    levels = [("a", 120, 160, 1, bytearray(page().tobytes())), ("b", 120, 160, 1, bytearray(page().tobytes()))]
+    decoded = spark.createDataFrame(levels, "stem string, height int, width int, channels int, data binary")
+    kind = "stem string, path string, content binary"
+    raw = spark.createDataFrame([("a", "raw/a.png", bytearray(b"raw")), ("b", "raw/b.png", bytearray(b"raw"))], kind)
+    cleaned = spark.createDataFrame([("a_clean", "c/a_clean.png", bytearray(b"kept"))], kind)
+    whole = lambda: lambda data: GOLDEN if data == b"kept" else GOLDEN.replace("7.00", "7.50") if data.startswith(b"\x89PNG") else "none"
+    other = lambda: lambda data: GOLDEN if data == b"raw" else "none"
+    rows = engines.fuse_images(raw, cleaned, decoded, ("tesseract", whole), ("easyocr", other)).orderBy("stem", "row_pos").collect()
+    assert [(r.stem, r["item"], r.total) for r in rows] == [(s, i, t) for s in "ab" for i, t in (("Maize meal", "7.00"), ("Sugar 2kg", "6.30"))]
+    images = raw.withColumn("name", F.concat("stem", F.lit(".png")))
+    truth = spark.createDataFrame([("a", GOLDEN)], "stem string, text string")
+    scores = {(r.name, r.engine): (r.cer, r.wer) for r in engines.score_images(images, truth, {"tesseract": whole, "easyocr": other}).collect()}
+    assert scores["a.png", "easyocr"] == (0.0, 0.0) and scores["a.png", "tesseract"] == (pytest.approx(1.0, abs=0.05), 1.0) and scores["b.png", "easyocr"] == (None, None)
+    sinks.write_stages(imaging.clean_stages(decoded), str(tmp_path / "stages"))
+    assert sorted(p.name for p in (tmp_path / "stages").glob("a_*.png")) == sorted(f"a_{s}.png" for s in imaging.STAGES)
+    (tmp_path / "scans").mkdir()
+    read = lambda images: images.select("stem", F.lit(GOLDEN).alias("text"))
+    assert files.ledger_texts(spark, str(tmp_path / "no"), str(tmp_path / "no"), read)[0] is None
+    found, told = files.ledger_texts(spark, str(tmp_path / "no"), str(tmp_path / "stages"), read)
+    assert found.count() == 12 and "are read" in told
+    (tmp_path / "scans" / "x.txt").write_text(GOLDEN, encoding="utf-8")
+    assert files.ledger_texts(spark, str(tmp_path / "scans"), str(tmp_path / "stages"), read)[0].first().stem == "x"
+
+
 def test_landing(spark, tmp_path):
     inbox, store, marks = (tmp_path / d for d in ("in", "store", "marks"))
     inbox.mkdir()
