@@ -10,15 +10,27 @@ from .common import fresh, table
 #: Rounds of the Feistel network. The key is the caller's; this one is for tests.
 ROUNDS, KEY = 10, "public test key"
 
-#: Kinds of finds in order: of those that begin at one place the first is taken.
+#: What stands before a secret's value, in any case.
+HEAD = r"(?i:passwords?|passwd|pwd|passphrase|tokens?|secrets?|(?:api|access|auth)[_\-]?keys?)[\"']?\s{0,3}[=:]\s{0,3}"
+#: A value runs to its closing quote, or to the blank behind it without the marks of the sentence; it has four characters or more.
+VALUE = r"(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|\S{3,}[^\s\"'.,;:!?)\]}>])"
+BARE = (
+    r"AKIA[0-9A-Z]{16,}", r"gh[pousr]_[A-Za-z0-9]{16,}", r"sk-[A-Za-z0-9_\-]{16,}", r"xox[abprs]-[A-Za-z0-9\-]{10,}",
+    r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?",
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^\x00]*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)",
+)
+
+#: Kinds of finds in order: of those that begin at one place the first is taken. No find of a secret has an upper bound.
 KINDS = {
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}\b|(?:password|passwd|pwd|token|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/]{8,128}|ghp_[A-Za-z0-9]{36}\b|sk-[A-Za-z0-9]{20,64}\b)",
+    "secret": rf"(?<![A-Za-z0-9])(?:{HEAD}{VALUE}|{'|'.join(BARE)})",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![.\-/]?\d)",
-    "phone": r"(?<!\w)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\w])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![.\-]?\d)",
+    # under code 1 ten digits follow; elsewhere groups of digits
+    "phone": r"(?<!\w)\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\w)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\w])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![.\-]?\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\-]?\d)",
-    "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![.\-]?\d)",
+    # whole; four and more groups of four; 4-6-5; any other grouping
+    "card": r"(?<![\d.\-])(?:\d{13,19}(?!\.?\d)|\d{4}([ \-])\d{4}(?:\3\d{4})++(?:\3\d{1,7})?+(?!\.?\d)|\d{4}([ \-])\d{6}\4\d{4,5}(?!\.?\d)|\d(?:[ \-]?\d){12,18}(?![.\-]?\d))",
 }
 
 
@@ -47,11 +59,11 @@ def _ten(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def permute_digits(digits: Column, key: Column, tag: str, back: bool = False) -> Column:
+def permute_digits(digits: Column, key: Column, tag: Column, back: bool = False) -> Column:
     """A string of 2 to 36 digits, permuted among those of its length; shorter and longer ones as they are."""
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
-    form = F.concat(F.lit(f"{tag}|"), n.cast("string"))
+    form = F.concat_ws("|", tag, n.cast("string"))
     moved = lambda p: F.concat(F.lpad(p["l"].cast("string"), a, "0"), F.lpad(p["r"].cast("string"), n - a, "0"))
     pair = feistel(F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, n - a), _ten(a), _ten(n - a), key, form, back)
     # through a one-element array, so that the network is run once and read twice
@@ -85,24 +97,76 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, x: s + x)
 
 
-def card(find: Column, key: Column, back: bool = False) -> Column:
-    """All digits but the check digit are permuted, and that is made right again; numbers that fail the check stay."""
+def _one_card(find: Column, key: Column, back: bool) -> Column:
     digits = _only_digits(find)
-    body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", back)
+    body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"), back)
     check = lambda b: F.concat(b, F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))
-    whole = F.transform(F.array(body), check)[0]
-    return F.when(_luhn_sum(digits) % 10 == 0, _refill(find, whole)).otherwise(find)
+    return _refill(find, F.transform(F.array(body), check)[0])
+
+
+def card(find: Column, key: Column, back: bool = False) -> Column:
+    """All digits of a card number but the check digit are permuted, and that is made right again; what fails the check stays.
+
+    A find may hold other numbers beside the card's. From its first group of digits on, the
+    fewest groups that make 13 to 19 digits and pass the check are a card number; the next is
+    looked for behind it.
+    """
+
+    def read(x: Column) -> Column:
+        groups, marks = x["groups"], x["marks"]
+        n = F.size(groups)
+        joined = lambda i, k: F.array_join(F.slice(groups, i + 1, k), "")
+        sound = lambda d: F.length(d).between(13, 19) & (_luhn_sum(d) % 10 == 0)
+        least = lambda i: F.coalesce(F.get(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: sound(joined(i, k))), 0), F.lit(0))
+
+        def part(i: Column, k: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(i, i + k - 1), lambda g: F.concat(groups[g], F.when(g < i + k - 1, F.get(marks, g)).otherwise(""))), "")
+
+        def step(s: Column, i: Column) -> Column:
+            def taken(k: Column) -> Column:
+                one = F.when(k > 0, _one_card(part(i, F.greatest(k, F.lit(1))), key, back)).otherwise(groups[i])
+                size = F.greatest(k, F.lit(1))
+                return F.struct(F.concat(s["out"], one, F.coalesce(F.get(marks, i + size - 1), F.lit(""))).alias("out"), (size - 1).alias("skip"))
+
+            passed = F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"))
+            return F.when(s["skip"] > 0, passed).otherwise(F.transform(F.array(least(i)), taken)[0])
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("skip")), step)["out"]
+
+    cut = F.struct(F.split(find, "[ -]").alias("groups"), F.regexp_extract_all(find, F.lit("[ -]"), F.lit(0)).alias("marks"))
+    return F.transform(F.array(cut), read)[0]
+
+
+#: fixed values: country codes of one and of two digits; all others have three
+CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def phone(find: Column, key: Column, back: bool = False) -> Column:
-    """The country code after a plus stays, the other digits are permuted."""
-    head = F.regexp_extract(find, r"^\+\d{1,3}(?=[^\d])", 0)
-    rest = F.substring(find, F.length(head) + 1, F.length(find))
-    return F.concat(head, _refill(rest, permute_digits(_only_digits(rest), key, "phone", back)))
+    """The country code stays, the other digits are permuted, however they are grouped; without a plus the code is 1.
+
+    Numbers of less than 8 or more than 15 digits stay.
+    """
+    digits = _only_digits(find)
+    code = F.when(find.startswith("+"), F.regexp_extract(digits, CODES, 0)).otherwise("1")
+    rest = F.when(find.startswith("+"), F.substring(digits, F.length(code) + 1, F.length(digits))).otherwise(digits)
+    new = permute_digits(rest, key, F.concat_ws("|", F.lit("phone"), code), back)
+    shown = F.when(find.startswith("+"), F.concat(code, new)).otherwise(new)
+    return F.when(F.length(digits).between(8, 15), _refill(find, shown)).otherwise(find)
 
 
 def ssn(find: Column, key: Column, back: bool = False) -> Column:
-    return _refill(find, permute_digits(_only_digits(find), key, "ssn", back))
+    """Numbers that can be given out are permuted among themselves: areas 001 to 899 but 666, no part of zeros; others stay."""
+    area, group, serial = (F.regexp_extract(find, r"^(\d{3})-(\d{2})-(\d{4})$", k).cast("int") for k in (1, 2, 3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    left = area - 1 - (area > 666).cast("int")
+    pair = feistel(left, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"), back)
+
+    def text(p: Column) -> Column:
+        a = p["l"] + 1
+        parts = ((a + (a >= 666).cast("int"), 3), (F.floor(p["r"] / 9999) + 1, 2), (p["r"] % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return F.when(valid, F.transform(F.array(pair), text)[0]).otherwise(find)
 
 
 def ip(find: Column, key: Column, back: bool = False) -> Column:
@@ -151,18 +215,28 @@ def email(find: Column, key: Column) -> Column:
 
 
 def secret(find: Column, key: Column) -> Column:
-    """What stands before the value, such as `password=`, stays."""
-    head = F.regexp_extract(find, r"^(?:password|passwd|pwd|token|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?", 0)
-    value = F.substring(find, F.length(head) + 1, F.length(find))
-    return F.concat(head, F.lit("secret-"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("secret"), value), 256), 1, 20))
+    """What stands before the value, such as `password=`, stays, and so do quotes around it."""
+    head = F.regexp_extract(find, rf"^{HEAD}[\"']?", 0)
+    rest = F.substring(find, F.length(head) + 1, F.length(find))
+    quote = F.when(head.rlike("[\"']$"), F.regexp_extract(rest, "[\"']$", 0)).otherwise("")
+    value = F.substring(rest, F.lit(1), F.length(rest) - F.length(quote))
+    return F.concat(head, F.lit("secret-"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("secret"), value), 256), 1, 20), quote)
 
 
 FORMS = {"secret": secret, "email": email, "ip": ip, "date": date, "phone": phone, "ssn": ssn, "card": card}
 
 
 def _pattern() -> str:
-    """All kinds in one pattern; the date's two groups are the only ones that are numbered."""
-    return "|".join(f"(?:{p})" for p in KINDS.values())
+    """All kinds in one pattern; the date's and the card's groups are the only ones that are numbered.
+
+    The kinds of numbers stand behind one look at the character they begin with.
+    """
+    some = lambda *kinds: "|".join(f"(?:{KINDS[k]})" for k in kinds)
+    return rf"(?=[A-Za-z\-])(?:{some('secret')})|(?=[A-Za-z0-9])(?:{some('email')})|(?=[0-9+(])(?:{some('ip', 'date', 'phone', 'ssn', 'card')})"
+
+
+#: What every find has one of: a digit, the mark of an address or of a value, or the beginning of a bare secret.
+GATE = r"[0-9@=:]|AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|PRIVATE KEY"
 
 
 def kind_of(find: Column) -> Column:
@@ -170,7 +244,8 @@ def kind_of(find: Column) -> Column:
     for kind, p in KINDS.items():
         if kind == "secret":
             continue
-        whole = find.rlike(rf"\A(?:{p})\z")
+        own = p.replace(r"\3", r"\1").replace(r"\4", r"\2") if kind == "card" else p  # its groups when it stands alone
+        whole = find.rlike(rf"\A(?:{own})\z")
         out = F.when(whole, F.lit(kind)) if out is None else out.when(whole, F.lit(kind))
     return out.otherwise(F.lit("secret"))
 
@@ -178,18 +253,18 @@ def kind_of(find: Column) -> Column:
 def pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with `text` pseudonymised and `finds`, an array of (kind, changed) in the order of the text.
 
-    Card numbers (Luhn's check), dates of the calendar, IPv4 addresses, telephone and social
-    security numbers become others of their format, the same value always the same other;
-    the key undoes it. E-mail addresses and secrets become names from a keyed hash. What has
-    the form but fails its check stays, and its `changed` is false. Null texts stay null.
-    Texts without a digit or @ are not searched further. `finds` is replaced.
+    Card numbers (Luhn's check), dates of the calendar, IPv4 addresses, telephone numbers (8
+    to 15 digits) and social security numbers become others of their format, the same value
+    always the same other, a telephone number also where it is grouped otherwise; the key
+    undoes it. E-mail addresses and secrets become names from a keyed hash. What has the form
+    but fails its check stays, and its `changed` is false. Texts without what every find has
+    (GATE) are not searched further. Null texts stay null. `finds` is replaced.
     """
     k = F.lit(key)
     docs = docs.drop("finds")
     gaps, hits, made = fresh(docs, "_gaps", "_hits", "_made")
     t = F.col(f"`{text}`")
-    some = t.rlike("[0-9@=:]")
-    out = docs.withColumn(hits, F.when(some, F.regexp_extract_all(t, F.lit(_pattern()), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    out = docs.withColumn(hits, F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(_pattern()), F.lit(0))).otherwise(F.array().cast("array<string>")))
     found = F.size(hits) > 0
 
     def change(x: Column) -> Column:
