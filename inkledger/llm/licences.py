@@ -141,7 +141,7 @@ def _rights():
         (50, "research-only", "research", "for(?: academic)? research(?: purposes| use)? only"),
         (50, "non-commercial", "commercial", "non ?commercial (?:use|purposes) only|not for commercial use"),
         (50, "non-commercial", "noncommercial", "noncommercial (?:use|purposes) only"),
-        (55, "copyright", "copyright", r"copyright(?: c)?(?: \d{4})+"),
+        (55, "copyright", "copyright", r"copyright(?: c)?(?: \d{4}){1,8}"),
         (95, "copyright", "copyright", "copyright"),
         (50, "terms", "terms", "under the (?:following )?terms"),
         (50, "spdx", "spdx", r"spdx license identifier \S+"),
@@ -173,24 +173,17 @@ def _count(text: Column) -> Column:
 
 
 def _places(line: str, pattern: str) -> str:
-    """SQL: array of (first, last) words of the pattern's matches, in order; the ends of matches are kept apart by the split."""
-    bounded = f"concat('(?<![^ ])(?:', {pattern}, ')(?![^ ])')"
-    return f"""
-      aggregate(
-        arrays_zip(split({line}, {bounded}, -1), regexp_extract_all({line}, {bounded}, 0)),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<first:int,last:int>>)),
-        (s, x) -> named_struct(
-          'at', s.at + words_in(x.`0`) + coalesce(words_in(x.`1`), 0),
-          'out', if(x.`1` IS NULL, s.out, array_append(s.out, named_struct('first', s.at + words_in(x.`0`), 'last', s.at + words_in(x.`0`) + words_in(x.`1`) - 1)))),
-        s -> s.out)"""
-
-
-def _sql(text: str) -> str:
-    """Write out words_in(x): the number of words in x."""
-    import re
+    """SQL: array of (first, last) words of the pattern's matches, in order.
 
-    count = r"if(trim(\1) = '', 0, length(trim(\1)) - length(replace(trim(\1), ' ', '')) + 1)"
-    return re.sub(r"words_in\(([\w.`]+)\)", count, text)
+    Marks are put before and behind each match; the marked words' numbers are its ends. That
+    takes one pass over the words, however many matches there are.
+    """
+    bounded = f"concat('(?<![^ ])(?:', {pattern}, ')(?![^ ])')"
+    at = lambda test: f"filter(transform(w, (x, i) -> if({test}, i, null)), i -> i IS NOT NULL)"
+    ends = f"arrays_zip({at('startswith(x, chr(1))')}, {at('endswith(x, chr(2))')})"
+    marked = f"split(regexp_replace({line}, {bounded}, concat(chr(1), '$0', chr(2))), ' ')"
+    found = f"transform(transform(array({marked}), w -> {ends})[0], z -> named_struct('first', z.`0`, 'last', z.`1`))"
+    return f"if({line} RLIKE {bounded}, {found}, array())"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -200,7 +193,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     keywords first; only texts with a keyword are matched, and only with those keywords'
     rules. A match is dropped if its interval of words lies inside that of a match of an
     earlier priority, or inside a longer match of the same priority; of equal intervals
-    the first rule's stays. Null, empty and wordless texts have no matches. New columns
+    the first rule's stays. A rule's matches don't overlap and none is longer than its
+    pattern, so in order of their first words a match is held against as many before it as
+    rules could have there; the work grows with the text, not its square. Null, empty and wordless texts have no matches. New columns
     replace those of the same name.
     """
     table_of = ", ".join(
@@ -214,7 +209,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn(line, joined_words(F.col(f"`{text}`")))
     out = out.withColumn(words, F.split(line, " ")).withColumn("n_words", _count(F.col(line)).cast("long"))
     out = out.withColumn(keys, F.array_intersect(F.array(*map(F.lit, keywords)), words)).drop(words)
-    places = lambda rule: _sql(_places(line, f"{rule}.pattern"))
+    places = lambda rule: _places(line, f"{rule}.pattern")
     hits = "flatten(transform(filter(array({0}), r -> array_contains({keys}, r.keyword)), r -> transform({1}, p -> {2})))"
     base = hits.format(base_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'label', r.label)", keys=keys)
     found = hits.format(table_of, places("r"), "named_struct('first', p.first, 'last', p.last, 'rank', r.rank, 'n', r.n, 'label', r.label)", keys=keys)
@@ -223,12 +218,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     gate = F.size(keys) > 0
     out = out.withColumn("base", F.when(gate, F.expr(base)).otherwise(F.expr(f"cast(array() AS {kind})")))
     out = out.withColumn(all_, F.when(gate, F.expr(found)).otherwise(F.expr(f"cast(array() AS {wide})")))
+    # in order of first words, then of the longer, the earlier priority and rule: what holds a match stands before it
+    in_order = f"array_sort(transform({all_}, x -> named_struct('first', x.first, 'back', -x.last, 'rank', x.rank, 'n', x.n, 'label', x.label)))"
+    reach = f"size(array_distinct(transform({all_}, x -> x.n))) * array_max(transform({all_}, x -> x.last - x.first + 1))"
     left = f"""
-      filter({all_}, x -> NOT exists({all_}, y ->
-        y.first <= x.first AND y.last >= x.last AND (
-          y.rank < x.rank
-          OR y.rank = x.rank AND (y.last - y.first > x.last - x.first OR y.first = x.first AND y.last = x.last AND y.n < x.n))))"""
-    return out.withColumn("found", F.expr(left)).drop(line, keys, all_)
+      transform(transform(array(named_struct('s', {in_order}, 'w', {reach})), q -> filter(q.s, (x, k) ->
+        NOT exists(slice(q.s, greatest(1, k + 1 - q.w), least(k, q.w)), y ->
+          y.back <= x.back AND (y.rank < x.rank OR y.rank = x.rank AND (y.first < x.first OR y.back < x.back OR y.n < x.n)))))[0],
+        x -> named_struct('first', x.first, 'last', -x.back, 'rank', x.rank, 'n', x.n, 'label', x.label))"""
+    return out.withColumn("found", F.when(F.size(all_) > 0, F.expr(left)).otherwise(F.col(all_))).drop(line, keys, all_)
 
 
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
