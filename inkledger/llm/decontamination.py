@@ -13,7 +13,7 @@ from .common import fresh, table
 #: Words of a benchmark item that make a leak where they stand together.
 WINDOW = 10
 #: Benchmark texts are broadcast in blocks of at most about so many bytes, read one after another.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 FOUND = pa.struct(
     [
@@ -33,42 +33,38 @@ FOUND_SQL = (
 
 
 def block_of(items: list[tuple[str, str]], window: int) -> dict:
-    """Every window of the items, as rows of word numbers in the block's vocabulary, with the items that hold it."""
-    first, data, bounds = next(shards(pa.array([t for _, t in items], pa.string()), 1 << 62))
+    """The items' suffixes that begin with a window, in order of all their words.
+
+    `seq` holds the words' numbers in the block's vocabulary, a 0 behind each item. Suffixes
+    that begin with one window stand together; `first` is where each window's begin in `suffix`.
+    """
+    items = sorted(items)
+    _, data, bounds = next(shards(pa.array([t for _, t in items], pa.string()), 1 << 62))
     w = words(data, bounds)
     vocab, ids = np.unique(w.hash, return_inverse=True)
-    ids = ids.astype(np.int64) + 1
     n = np.bincount(w.doc, minlength=len(items))
-    begin = np.cumsum(n) - n
-    rows, owner, place = [], [], []
-    for k in range(len(items)):
-        own = ids[begin[k] : begin[k] + n[k]]
-        if not len(own):
-            continue
-        size = min(window, len(own))
-        view = np.lib.stride_tricks.sliding_window_view(own, size)
-        rows.append(np.pad(view, ((0, 0), (0, window - size))))
-        owner.append(np.full(len(view), k))
-        place.append(np.arange(len(view)))
-    if not rows:
-        return {"names": [], "vocab": vocab}
-    wins, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    owner, place = np.concatenate(owner), np.concatenate(place)
-    # a window that an item repeats counts at its first place
-    by = np.lexsort((place, owner, which))
-    which, owner, place = which[by], owner[by], place[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])
-    which, owner, place = which[new], owner[new], place[new]
-    return {
-        "names": [i for i, _ in items],
-        "vocab": vocab,
-        "windows": wins,
-        "sizes": (wins > 0).sum(1),
-        "from": np.searchsorted(which, np.arange(len(wins) + 1)),
-        "owner": owner,
-        "place": place,
-    }
+    seq = np.zeros(len(ids) + len(items), np.int64)
+    seq[np.arange(len(ids)) + w.doc] = ids + 1
+    begin = np.cumsum(n + 1) - n - 1
+    starts = [np.arange(s, s + max(k - window, 0) + 1) for s, k in zip(begin.tolist(), n.tolist(), strict=True) if k]
+    if not starts:
+        return {"names": []}
+    suffix = np.concatenate(starts)
+    order = suffix_array(seq, int(n.max()), 1)
+    rank = np.zeros(len(seq), np.int64)
+    rank[order] = np.arange(len(order))
+    suffix = suffix[np.argsort(rank[suffix])]
+    rows = _rows(seq, suffix, window)
+    new = np.append(True, (rows[1:] != rows[:-1]).any(1))
+    owner = np.searchsorted(begin, suffix, side="right") - 1
+    return {"names": [i for i, _ in items], "vocab": vocab, "seq": seq.astype(np.int32), "suffix": suffix, "owner": owner, "first": np.append(np.flatnonzero(new), len(suffix)), "window": window}
+
+
+def _rows(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The next `width` words from each place, 0 from the end of the text on."""
+    cols = at[:, None] + np.arange(width)
+    got = np.where(cols < len(seq), seq[np.minimum(cols, len(seq) - 1)], 0)
+    return np.where(np.cumsum(got == 0, axis=1) > 0, 0, got)
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> list:
@@ -86,6 +82,12 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, most: int
     return out
 
 
+def _read(blocks: list):
+    """The blocks one after another; of several, each is read anew from the executor's copy and let go again."""
+    for b in blocks:
+        yield b.value if len(blocks) == 1 else b.load_from_path(b._path)
+
+
 def suffix_array(seq: np.ndarray, depth: int, least: int) -> np.ndarray:
     """Starts of suffixes in order of their first `depth` words.
 
@@ -131,8 +133,36 @@ def _bound(seq: np.ndarray, sa: np.ndarray, wins: np.ndarray, sizes: np.ndarray,
     return lo
 
 
-def search(data: np.ndarray, bounds: np.ndarray, blocks: list[dict]) -> list[dict]:
-    """FOUND for each text of a shard."""
+def extend(seq: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """From places that begin with the window of the item suffixes lo to hi: the words they share with the suffix that goes on longest, and such a suffix.
+
+    Word by word the suffixes that go on like the text are found by bisection, as they are in order.
+    """
+    lo, hi, depth = lo.copy(), hi.copy(), depth.copy()
+    live = np.arange(len(place))
+    items, suffix = b["seq"], b["suffix"]
+    while len(live):
+        at = place[live] + depth[live]
+        word = np.where(at < len(seq), seq[np.minimum(at, len(seq) - 1)], 0)
+        live, word = live[word > 0], word[word > 0]
+        ends = []
+        for upper in (False, True):
+            left, right = lo[live].copy(), hi[live].copy()
+            while len(k := np.flatnonzero(left < right)):
+                mid = (left[k] + right[k]) // 2
+                got = items[suffix[mid] + depth[live[k]]]
+                less = got <= word[k] if upper else got < word[k]
+                left[k], right[k] = np.where(less, mid + 1, left[k]), np.where(less, right[k], mid)
+            ends.append(left)
+        on = ends[0] < ends[1]
+        live = live[on]
+        lo[live], hi[live] = ends[0][on], ends[1][on]
+        depth[live] += 1
+    return depth, lo
+
+
+def search(data: np.ndarray, bounds: np.ndarray, blocks) -> list[dict]:
+    """FOUND for each text of a shard. Of equally long matches the first in the text is told, and of its items the least."""
     w = words(data, bounds)
     n = len(bounds) - 1
     at = np.arange(len(w.doc)) + w.doc  # one free place after each text
@@ -140,7 +170,7 @@ def search(data: np.ndarray, bounds: np.ndarray, blocks: list[dict]) -> list[dic
     first = np.searchsorted(w.doc, np.arange(n)) + np.arange(n)  # where each text begins among the places
     n_words = np.bincount(w.doc, minlength=n)
     cover = np.zeros(total + 1, np.int64)
-    items: list[dict] = [{} for _ in range(n)]
+    items: list[set] = [set() for _ in range(n)]
     best: list[tuple] = [(0, None, None)] * n
     for b in blocks:
         if not b["names"]:
@@ -148,9 +178,11 @@ def search(data: np.ndarray, bounds: np.ndarray, blocks: list[dict]) -> list[dic
         seq = np.zeros(total, np.int64)
         pos = np.minimum(np.searchsorted(b["vocab"], w.hash), len(b["vocab"]) - 1)
         seq[at] = np.where(b["vocab"][pos] == w.hash, pos + 1, 0)
-        sa = suffix_array(seq, b["windows"].shape[1], int(b["sizes"].min()))
-        lo = _bound(seq, sa, b["windows"], b["sizes"], False)
-        n_found = _bound(seq, sa, b["windows"], b["sizes"], True) - lo
+        wins = _rows(b["seq"], b["suffix"][b["first"][:-1]], b["window"])
+        sizes = (wins > 0).sum(1)
+        sa = suffix_array(seq, b["window"], int(sizes.min()))
+        lo = _bound(seq, sa, wins, sizes, False)
+        n_found = _bound(seq, sa, wins, sizes, True) - lo
         hit = np.flatnonzero(n_found)
         if not len(hit):
             continue
@@ -158,24 +190,21 @@ def search(data: np.ndarray, bounds: np.ndarray, blocks: list[dict]) -> list[dic
         win = np.repeat(hit, count)
         place = sa[np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         np.add.at(cover, place, 1)
-        np.add.at(cover, place + b["sizes"][win], -1)
+        np.add.at(cover, place + sizes[win], -1)
         doc = np.searchsorted(first, place, side="right") - 1
-        # with each place, the items that hold the window
-        many = b["from"][win + 1] - b["from"][win]
-        entry = np.repeat(b["from"][win] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        owner, diagonal = b["owner"][entry], np.repeat(place, many) - b["place"][entry]
-        d, p, size = np.repeat(doc, many), np.repeat(place, many), np.repeat(b["sizes"][win], many)
-        by = np.lexsort((p, diagonal, owner, d))
-        d, p, owner, diagonal, size = d[by], p[by], owner[by], diagonal[by], size[by]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(d))) - 1 + size[begin]
-        for k, m in zip(begin.tolist(), length.tolist(), strict=True):
-            name, where = b["names"][owner[k]], d[k]
-            items[where][name] = True
-            if m > best[where][0]:
-                best[where] = (m, name, int(p[k] - first[where]))
+        for d, k in np.unique(np.column_stack((doc, win)), axis=0).tolist():
+            items[d].update(b["names"][o] for o in np.unique(b["owner"][b["first"][k] : b["first"][k + 1]]).tolist())
+        length, suffix = extend(seq, place, b["first"][win], b["first"][win + 1], sizes[win], b)
+        by = np.lexsort((place, -length, doc))
+        by = by[np.append(True, doc[by][1:] != doc[by][:-1])]
+        for k in by.tolist():
+            d, m, p = int(doc[k]), int(length[k]), int(place[k] - first[doc[k]])
+            held = best[d]
+            alike = b["suffix"][b["first"][win[k]] : b["first"][win[k] + 1]]
+            reach = _rows(b["seq"], alike, m) == _rows(b["seq"], b["suffix"][suffix[k] : suffix[k] + 1], m)
+            name = min(b["names"][o] for o in b["owner"][b["first"][win[k]] : b["first"][win[k] + 1]][reach.all(1)].tolist())
+            if (-m, p, name) < (-held[0], held[2] or 0, held[1] or ""):
+                best[d] = (m, name, p)
     covered = np.cumsum(cover)[:total] > 0
     edges = np.diff(np.concatenate(([False], covered, [False])).astype(np.int8))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -202,9 +231,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     The texts of a batch form shards; over each a suffix array of words is built, and every
     window that begins a benchmark suffix is searched in it by bisection, so that all its
-    places are found. Nothing is shuffled. The benchmark goes out in blocks of bounded size.
-    Matches that go on from window to window on one diagonal make the longest match; a
-    window that an item repeats counts there at the item's first place.
+    places are found. From each place the match is followed on through the items' sorted
+    suffixes, all that begin with the window, which gives the longest match. Nothing is
+    shuffled. The benchmark goes out in blocks of bounded size, and a task holds one at a time.
 
     Null and wordless texts have no words and no hits. Items without words match nothing;
     items under one id count once; a null id reads ''. An empty benchmark leaves all clean.
@@ -213,8 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     @F.arrow_udf(FOUND_SQL)
     def leaks(texts: pa.Array) -> pa.Array:
-        here = [b.value for b in blocks]
-        return pa.array([x for _, data, bounds in shards(texts) for x in search(data, bounds, here)], FOUND)
+        return pa.array([x for _, data, bounds in shards(texts) for x in search(data, bounds, _read(blocks))], FOUND)
 
     return docs.drop("leaks").withColumn("leaks", leaks(F.col(f"`{text}`")))
 
@@ -247,8 +275,8 @@ WITH words AS (
   SELECT 'b', coalesce(CAST(item_id AS VARCHAR), ''), row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL FROM benchmark),
 items AS (SELECT id AS item, rid AS item_row, w, least(10, len(w)) AS size FROM words WHERE kind = 'b' AND len(w) > 0),
 wins AS (
-  SELECT item, item_row, size, min(pos) AS pos, win
-  FROM (SELECT item, item_row, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win FROM (SELECT *, unnest(range(len(w) - size + 1)) AS pos FROM items)) GROUP BY ALL),
+  SELECT DISTINCT item, item_row, size, pos, win
+  FROM (SELECT item, item_row, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win FROM (SELECT *, unnest(range(len(w) - size + 1)) AS pos FROM items))),
 places AS (
   SELECT rid, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win
   FROM (SELECT rid, w, size, unnest(range(greatest(0, len(w) - size + 1))) AS pos FROM words CROSS JOIN (SELECT DISTINCT size FROM items) WHERE kind = 'd')),
