@@ -11,12 +11,26 @@ from .common import checkpoint, components, table
 from .simhash import _forest
 
 COSINE = 0.93
-#: Passes over the vectors, each sorted by HASH_BITS signs of random projections, each vector compared with the next WINDOW ones.
-PASSES, HASH_BITS, WINDOW, PROJECTION_SEED = 24, 48, 48, 20
+#: In each pass the vectors are sorted by HASH_BITS signs of random projections, and each is compared with the next WINDOW ones.
+HASH_BITS, WINDOW, PROJECTION_SEED = 48, 48, 20
+#: There are at least so many passes, and as many as find a link of the least cosine with this chance in the largest label.
+PASSES, RECALL = 24, 0.999
 #: Vectors of a component are compared in tiles of about so many.
 TILE = 1024
 
 
+def passes_for(largest: int, window: int, cosine: float, recall: float = RECALL, least: int = PASSES) -> int:
+    """How many passes a label of so many vectors needs.
+
+    Two vectors that agree in the first log2(largest / window) signs stand within a window of
+    each other if the signs part the label evenly; each sign agrees with a chance of
+    1 - angle / pi.
+    """
+    signs = max(0.0, np.log2(max(largest, 1) / window))
+    once = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** signs
+    return max(least, int(np.ceil(np.log(1 - recall) / np.log1p(-min(once, 1 - 1e-12)))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column, of one length, as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -131,11 +145,11 @@ def _tiles(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, passes: int = PASSES, bits: int = HASH_BITS, window: int = WINDOW, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, passes: int | None = None, bits: int = HASH_BITS, window: int = WINDOW, tile: int = TILE) -> DataFrame:
     """Rows (key, n_links, component_id, kept), one for each row of vectors.
 
-    Equal vectors of one label and length make one class, found before any comparison. In
-    each pass the classes are range-sorted by label and the hash of the pass, and each is
+    Equal vectors of one label and length make one class, found before any comparison. There
+    are as many passes as the largest label needs (passes_for), unless stated. In each pass the classes are range-sorted by label and the hash of the pass, and each is
     compared with the next `window` ones; verified pairs of all passes are united. Every two
     classes of a component so found are then compared in tiles, so that n_links counts all
     links inside it, also those that no window held.
@@ -153,6 +167,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     rows = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("vector"), F.col(f"`{label}`").alias("label"))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     h = [F.xxhash64(F.lit(k), "label", F.size("vector"), "vector").alias(f"h{k}") for k in (1, 2)]
+    if passes is None:
+        largest = rows.where("sound").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        passes = passes_for(largest or 0, window, cosine)
     good = rows.where("sound").select("key", "vector", "label", *h)
     classes = good.groupBy("h1", "h2").agg(
         F.first("vector").alias("vector"), F.first("label").alias("label"), F.min("key").alias("least"), F.count("*").alias("mult")
