@@ -207,11 +207,11 @@ def test_sharding(spark, docs):
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)], "doc_id bigint, quality int, toxic int")
     for known in (labels, labels.limit(0)):
-        got = quality.score(docs, quality.train(docs.select("doc_id", "text"), known)).collect()
+        got = quality.score(docs, quality.train(docs, known)).collect()
         assert len(got) == len(TEXTS) + 1 and all(0 <= r.score <= 1 for r in got)
     rng = np.random.default_rng(1)
-    m = quality.Model(np.zeros((len(quality.STATS), quality.BINS - 1)), 0.1, rng.normal(size=quality.BUCKETS + len(quality.STATS) * quality.BINS), rng.normal(size=(quality.BUCKETS + len(quality.STATS) * quality.BINS, 3)))
-    rows = quality.describe(np.frombuffer(b"a bb a", np.uint8), np.array([0, 6]))
+    m = quality.Model(np.zeros((quality.FEATURES, quality.BINS - 1)), 0.1, rng.normal(size=quality.BUCKETS + quality.FEATURES * quality.BINS), rng.normal(size=(quality.BUCKETS + quality.FEATURES * quality.BINS, 3)))
+    rows = quality.describe(np.frombuffer(b"a bb a", np.uint8), np.array([0, 6]), np.array([[6.0]]))
     _, f, v = quality.encode(rows, m.edges)
     pairs = sum(m.factor[f[i]] @ m.factor[f[j]] * v[i] * v[j] for i in range(len(f)) for j in range(i))
     assert quality.margins(m, *quality.encode(rows, m.edges), 1)[0][0] == pytest.approx(0.1 + (m.weight[f] * v).sum() + pairs)
