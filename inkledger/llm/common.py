@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the line-noise-free kind: digits, ASCII letters (lower case) and every character beyond ASCII.
@@ -21,15 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from those files.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a temporary folder is taken.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and Spark runs
+    on one machine, as in tests, a temporary folder is taken.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
+def pieces_of(df: DataFrame, least: int = 256, rows: int = 1 << 18) -> int:
+    """Into how many pieces a source or shard is cut, so that a piece has about so many rows even where one holds all: a power of two."""
+    total, n = df.count(), least
+    while n * rows < total:
+        n *= 2
+    return n
+
+
+def starts_of(counts: DataFrame, group: str, piece: str, n: str, start: str) -> DataFrame:
+    """counts (group, piece, n) with `start`, the sum of n of the group's pieces before; there are no more rows than pieces."""
+    before = Window.partitionBy(group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(group, piece, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+
+
 def ascii_lower(col):
     """Lower-case A to Z and leave every other character alone."""
     return F.translate(col, UPPER, LOWER)

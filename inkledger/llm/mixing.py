@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, table
+from .common import SPACE, fresh, pieces_of, starts_of, table
 
 #: Sources in code point order, null last, weigh so much, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: How the weight of each source moves over training, likewise in turn: w(t) is in proportion to 1 + slope * (2t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
-#: Words are summed in this many pieces a source, so that no task sums a whole source.
-PIECES = 256
 
 
 def words(text: Column) -> Column:
@@ -56,7 +54,7 @@ def position(taken: Column, target: Column, slope: Column) -> Column:
     return F.when(u <= 0, F.lit(0.0)).otherwise(2 * u / (b + F.sqrt(b * b + 4 * slope * u)))
 
 
-def mix(docs: DataFrame, size: str, source: str = "source", key: tuple[str, ...] = ("doc_id",), share: float = 1.5, most: float = 2.0, weights=WEIGHTS, slopes=SLOPES, pieces: int = PIECES, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, size: str, source: str = "source", key: tuple[str, ...] = ("doc_id",), share: float = 1.5, most: float = 2.0, weights=WEIGHTS, slopes=SLOPES, pieces: int | None = None, whole: bool = False) -> DataFrame:
     """Give each row source_size, target, taken and positions.
 
     A source's words are laid end to end in an order that a hash of the key columns gives
@@ -73,27 +71,15 @@ def mix(docs: DataFrame, size: str, source: str = "source", key: tuple[str, ...]
     if any(not -1 < x < 1 for x in slopes):
         raise ValueError("slopes lie between -1 and 1")
     docs = docs.drop("source_size", "target", "taken", "positions")
+    pieces = pieces or pieces_of(docs)  # no task sums a whole source
     h, piece, before, c, src, limit = fresh(docs, "_hash", "_piece", "_before", "_start", "_source", "_slope")
     keys = [F.col(f"`{x}`") for x in key]
     digest = F.md5(F.concat_ws("|", F.lit("mix"), *[x.cast("string") for x in keys]))
     d = docs.withColumn(h, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn(piece, F.pmod(F.col(h), F.lit(pieces)))
     d = d.withColumn(src, F.coalesce(F.concat(F.lit("0"), F.col(f"`{source}`")), F.lit("1")))  # null sorts last
     counts = d.groupBy(src, piece).agg(F.sum(size).alias("n"))
-    lists = counts.groupBy(src).agg(F.sum("n").alias("source_size"), F.collect_list(F.struct(piece, "n")).alias("all"))
-    targets = _targets(lists.select(src, "source_size"), src, share, most, weights, slopes)
-    starts = lists.select(
-        src,
-        F.explode(
-            F.transform(
-                "all",
-                lambda x: F.struct(
-                    x[piece].alias(piece),
-                    F.aggregate(F.filter("all", lambda y: y[piece] < x[piece]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias(before),
-                ),
-            )
-        ).alias("x"),
-    ).select(src, f"x.{piece}", f"x.{before}")
-    starts = starts.join(targets.withColumnRenamed("slope", limit), src)
+    targets = _targets(counts.groupBy(src).agg(F.sum("n").alias("source_size")), src, share, most, weights, slopes)
+    starts = starts_of(counts, src, piece, "n", before).join(targets.withColumnRenamed("slope", limit), src)
     out = d.join(starts, [src, piece])
     run = Window.partitionBy(src, piece).orderBy(h, *keys).rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn(c, F.col(before) + F.coalesce(F.sum(size).over(run), F.lit(0)))
