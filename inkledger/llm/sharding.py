@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
-
-#: Rows are numbered in this many pieces a shard, so that no task numbers a whole shard.
-PIECES = 256
+from .common import fresh, pieces_of, starts_of, table
 
 
 def _score(key: Column, shard: Column, weight: Column) -> Column:
@@ -17,13 +14,17 @@ def _score(key: Column, shard: Column, weight: Column) -> Column:
     return -weight / F.log(u)
 
 
+def bid(key: Column, shard: Column, weight: Column) -> Column:
+    return F.struct(_score(key, shard, weight).alias("s"), shard.alias("j"))
+
+
 def winner(key: Column, weights: list[float]) -> Column:
-    """The shard of key: of the (score, shard) pairs the greatest, so equal scores go to the larger number."""
-    scores = [F.struct(_score(key, F.lit(j), F.lit(float(w))).alias("s"), F.lit(j).alias("j")) for j, w in enumerate(weights)]
-    return F.array_max(F.array(*scores))["j"]
+    """(s, j) of key's shard: of the (score, shard) pairs the greatest, so equal scores go to the larger number. The expression is as short for many shards."""
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda j: bid(key, j, w[j])))
 
 
-def shard_records(docs: DataFrame, key: str = "doc_id", shards: int = 24, weights: list[float] | None = None, salt: tuple[str, ...] = ("text",)) -> DataFrame:
+def shard_records(docs: DataFrame, key: str = "doc_id", shards: int = 24, weights: list[float] | None = None, salt: tuple[str, ...] = ("text",), pieces: int | None = None) -> DataFrame:
     """Give each row `shard`, `grown_shard` (with one more shard of weight 1) and `slot`.
 
     The key's text and the weights alone decide the shard: equal keys share one, null keys
@@ -31,7 +32,7 @@ def shard_records(docs: DataFrame, key: str = "doc_id", shards: int = 24, weight
     shard or moves into the new one when a shard is added.
 
     `slot` numbers the rows of a shard from 0 without gaps, by (hash, key): each shard is cut
-    into PIECES by a hash of key and salt columns, the pieces are counted before the shuffle,
+    into pieces by a hash of key and salt columns, the pieces are counted before the shuffle,
     and rows are numbered inside a piece. Rows alike in key and salt are interchangeable.
     Empty tables give no rows; columns of docs called shard, slot or grown_shard are replaced.
     """
@@ -40,24 +41,14 @@ def shard_records(docs: DataFrame, key: str = "doc_id", shards: int = 24, weight
         raise ValueError("one positive weight for each shard is needed")
     k = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("null"))
     docs = docs.drop("shard", "slot", "grown_shard")
-    best, grown, piece, order, start = fresh(docs, "_best", "_grown", "_piece", "_order", "_start")
-    placed = docs.withColumn(best, winner(k, weights)).withColumn(grown, winner(k, [*weights, 1.0]))
+    top, best, grown, piece, order, start = fresh(docs, "_top", "_best", "_grown", "_piece", "_order", "_start")
+    pieces = pieces or pieces_of(docs)
+    more = bid(k, F.lit(shards), F.lit(1.0))
+    placed = docs.withColumn(top, winner(k, weights)).withColumns({best: F.col(top)["j"], grown: F.greatest(F.col(top), more)["j"]}).drop(top)
     placed = placed.withColumn(order, F.xxhash64(F.lit("slot"), k, *[F.col(f"`{c}`") for c in salt]))
-    placed = placed.withColumn(piece, F.pmod(F.col(order), F.lit(PIECES)))
+    placed = placed.withColumn(piece, F.pmod(F.col(order), F.lit(pieces)))
     counts = placed.groupBy(best, piece).agg(F.count("*").alias("n"))
-    # PIECES rows a shard: small whatever the input's size
-    starts = counts.groupBy(best).agg(F.collect_list(F.struct(piece, "n")).alias("all")).select(
-        best,
-        F.explode(
-            F.transform(
-                "all",
-                lambda x: F.struct(
-                    x[piece].alias(piece),
-                    F.aggregate(F.filter("all", lambda y: y[piece] < x[piece]), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias(start),
-                ),
-            )
-        ).alias("x"),
-    ).select(best, f"x.{piece}", f"x.{start}")
+    starts = starts_of(counts, best, piece, "n", start)
     within = F.row_number().over(Window.partitionBy(best, piece).orderBy(order, k))
     keep = [c for c in docs.columns]
     return placed.join(starts, [best, piece]).select(
