@@ -138,7 +138,7 @@ def _tile_links(ids: list, fp: np.ndarray, part: np.ndarray, sets: list, radius:
             vs.append(hit)
         mark[word[begin[i] : begin[i] + size[i]]] = False
     a, b = _forest(np.concatenate(us), np.concatenate(vs), n) if us else ([], [])
-    return pa.RecordBatch.from_pydict({"a": pa.array([ids[k] for k in a], pa.string()), "b": pa.array([ids[k] for k in b], pa.string())})
+    return pa.RecordBatch.from_pydict({"a": pa.array([ids[k] for k in a], pa.int64()), "b": pa.array([ids[k] for k in b], pa.int64())})
 
 
 def _compare(radius: int):
@@ -162,13 +162,15 @@ def _compare(radius: int):
 
 def _bare(links: DataFrame) -> DataFrame:
     """The links without what the optimiser knows of them, which it fails on in the rounds of components()."""
-    return links.mapInArrow(lambda batches: batches, "a string, b string")
+    return links.mapInArrow(lambda batches: batches, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(rows (key, r1, r2, id) of the documents, rows (id, class) of their sets of shingles).
 
-    `id` names a text's set of shingles, r1 and r2 the row's key and text. In each band's
+    `id` names a text's set of shingles, r1 and r2 the row's key and text; a class is a string
+    that is no id. Sets are numbered, and the numbers written, before they are dealt by bands,
+    as each goes to all of them. In each band's
     groups every text is held to one of the group, drawn anew for each band; in groups that
     this doesn't join to one component, the texts of different components are compared all
     with all, in tiles, but for two texts of the largest. Whatever is held to something passes the radius first and the exact
@@ -179,14 +181,15 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
     made = docs.select(F.col(f"`{key}`").alias("key"), r1.alias("r1"), r2.alias("r2"), sketch(t).alias("s"))
     name = F.concat_ws("-", F.hex(F.col("s")[0]), F.hex(F.col("s")[1]))
     rows = checkpoint(made.select("key", "r1", "r2", name.alias("id"), F.col("s")[2].alias("fp"), F.slice("s", 4, BANDS).alias("bands")))
-    items = rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("r1", "r2")).alias("row"))
-    banded = items.select("id", "fp", "row", F.explode("bands").alias("band"))
+    items = rows.groupBy(F.col("id").alias("name")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("r1", "r2")).alias("row"))
+    items = checkpoint(items.withColumn("id", F.monotonically_increasing_id()))
+    banded = items.select("id", "fp", F.explode("bands").alias("band"))
     drawn = F.min(F.struct(F.xxhash64("id", "band").alias("r"), "id", "fp"))
     groups = banded.groupBy("band").agg(F.count("*").alias("n"), drawn.alias("c")).where("n > 1").select("band", "n", F.col("c.id").alias("centre"), F.col("c.fp").alias("centre_fp"))
     member = checkpoint(banded.join(groups, "band"))
     near = member.where((F.col("id") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre_fp"))) <= radius))
     stars = near.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    told = member.select("id", "row.r1", "row.r2").distinct()
+    told = items.join(member.select("id").distinct(), "id").select("id", "row.r1", "row.r2")
     seen = docs.select(r1.alias("r1"), r2.alias("r2"), t.alias("text")).join(told, ["r1", "r2"]).select("id", shingles("text").alias("set"))
     sets = checkpoint(seen.dropDuplicates(["id"]))  # equal rows come once
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
@@ -200,10 +203,11 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
     dealt = deal(keyed, radius, tile).join(sets, "id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("pair", "id", "fp", "part", "set").repartition(n, "pair").sortWithinPartitions("pair")
-    more = checkpoint(dealt.mapInArrow(_compare(radius), "a string, b string"))
+    more = checkpoint(dealt.mapInArrow(_compare(radius), "a bigint, b bigint"))
     if not more.isEmpty():
         linked = components(_bare(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    return rows.select("key", "r1", "r2", "id"), linked.select(F.col("node").alias("id"), F.col("component").alias("class"))
+    named = linked.join(items.select(F.col("id").alias("node"), "name"), "node")
+    return rows.select("key", "r1", "r2", "id"), named.select(F.col("name").alias("id"), F.col("component").cast("string").alias("class"))
 
 
 def row_hash(key, text) -> list:
@@ -214,8 +218,8 @@ def row_hash(key, text) -> list:
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row of each class: one with the least key (null after all), and of rows alike in key and text any.
 
-    What goes is gathered by row_hash and taken out by an anti-join, so that the texts are only
-    shuffled where that list is too large to be sent to all tasks.
+    What goes is gathered by row_hash and taken out by an anti-join. That shuffles the texts
+    once, as finding the sets that are compared did before.
     """
     rows, linked = near_classes(docs, text, key, radius, tile)
     classes = rows.join(linked, "id", "left").select("r1", "r2", F.coalesce("class", "id").alias("class"), F.struct(F.col("key").isNull(), "key", "r1", "r2").alias("place"))
