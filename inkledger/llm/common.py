@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,21 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from those files.
+def _shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset and Spark runs
-    on one machine, as in tests, a temporary folder is taken.
+    It is spark.checkpoint.dir; only where that is unset and Spark runs on one machine, as in
+    tests, a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from those files."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name that driver and executors share."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by way of a table in the shared folder, of which later reads take only the columns they need."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pieces_of(df: DataFrame, least: int = 256, rows: int = 1 << 18) -> int:
     """Into how many pieces a source or shard is cut, so that a piece has about so many rows even where one holds all: a power of two."""
     total, n = df.count(), least

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licences, mixing, passages, private, quality, sharding, simhash, tokens, vectors
+from . import conversations, decontamination, licences, merkle, mixing, passages, private, quality, sharding, simhash, tokens, vectors, warc
 
 QUERIES = {
     "op1_factorisation_machine": quality.op1_factorisation_machine,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_feistel_pseudonyms": private.op8_feistel_pseudonyms,
     "op9_curriculum_mix": mixing.op9_curriculum_mix,
     "op10_rendezvous_shards": sharding.op10_rendezvous_shards,
+    "op11_warc_chains": warc.op11_warc_chains,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_sentence_spans": passages.OP3_SQL,
     "op6_sorted_projections": vectors.OP6_SQL,
     "op9_curriculum_mix": mixing.OP9_SQL,
+    "op11_warc_chains": warc.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
