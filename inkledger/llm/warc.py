@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,14 +88,16 @@ def _named(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(header, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
 
 
-def _parsed(text: Column, skip: Column) -> Column:
+def _parsed(text: Column, skip: Column, keep: Callable[[Column], Column]) -> Column:
     """What stands in a record that begins with its version behind MAGIC; null if it doesn't begin so.
 
-    `size` is the bytes of the record from MAGIC to the next record's, `payload` null where
-    the text ends before the record does. Bytes are looked at as characters of Latin 1.
+    `size` is the bytes of the record from MAGIC to the next record's, `whole` says that the
+    text doesn't end before the record does, and `payload` is what `keep` makes of its
+    payload. Bytes are looked at as characters of Latin 1.
     """
     raw = text.cast("binary")
-    plain = F.decode(raw, "ISO-8859-1")
+    # behind a piece stands the line feed that it was cut at, which may be the last of its header
+    plain = F.decode(F.concat(raw, F.lit(b"\n")), "ISO-8859-1")
     cut = F.locate(END, plain)
     header = F.substring(plain, F.lit(1), cut - 1)
     length = _named(header, "Content-Length").try_cast("bigint")
@@ -106,27 +109,34 @@ def _parsed(text: Column, skip: Column) -> Column:
         at = F.when(http, inner + 4).otherwise(x["at"])
         payload = F.substring(raw, at, (x["at"] + x["length"] - at).cast("int"))
         size = F.lit(len(MAGIC)) - skip + x["at"] - 1 + x["length"] + len(END)
-        return F.struct(x["header"].alias("header"), size.cast("bigint").alias("size"), F.when(whole, payload).alias("payload"))
+        return F.struct(x["header"].alias("header"), size.cast("bigint").alias("size"), whole.alias("whole"), F.when(whole, keep(payload)).alias("payload"))
 
     some = F.array(F.struct((cut + len(END)).cast("int").alias("at"), header.alias("header"), length.alias("length")))
     fits = F.substring(plain, skip + 1, F.lit(3)).rlike("[01]\r\n") & (cut > 0) & (length >= 0)
     return F.when(fits, F.transform(some, body)[0])
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, at, n, opening, found, raw): the archives cut at every magic, by tasks that read them in blocks.
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block, at, value): the files under the folder, cut at every magic by tasks that read them in blocks.
 
-    `raw` is kept only where the record isn't whole in its own piece: its payload holds the
-    magic, or the piece is no record. Any files under the folder are read, by Spark's reader.
+    Read twice, these rows are the same: the blocks come from a session like this one in
+    which they don't depend on how many executors there are.
     """
-    lines = spark.read.text(folder, lineSep=CUT)
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    lines = own.read.text(folder, lineSep=CUT)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def segments(pieces: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """pieces with n, opening and found (what record each may be) and, instead of the value, raw: that of a piece that isn't a whole record by itself."""
     opening = F.startswith("value", F.lit(MAGIC))
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-        F.octet_length("value").cast("bigint").alias("n"), opening.alias("opening"), "value",
-    )
-    skip = F.when(F.col("opening"), len(MAGIC)).otherwise(0)
-    return lines.withColumn("found", _parsed(F.col("value"), skip)).withColumn("raw", F.when(F.col("found.payload").isNull(), F.col("value"))).drop("value")
+    out = pieces.withColumn("n", F.octet_length("value").cast("bigint")).withColumn("opening", opening)
+    out = out.withColumn("found", _parsed(F.col("value"), F.when(F.col("opening"), len(MAGIC)).otherwise(0), keep))
+    return out.withColumn("raw", F.when(~F.coalesce("found.whole", F.lit(False)), F.col("value"))).drop("value")
 
 
 def _before(df: DataFrame, order: str, value: Column, name: str, last: bool = False) -> DataFrame:
@@ -186,54 +196,73 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.withColumn("at", run).join(whole, ["file", "at"]).where("offset >= entry").drop("at", "entry")
 
 
-def read_warc(spark: SparkSession, folder: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_warc(spark: SparkSession, folder: str, strict: bool = True, keep: Callable[[Column], Column] = lambda payload: payload) -> tuple[DataFrame, DataFrame]:
     """(records, files) of the uncompressed archives in a folder, in any store that Spark reads.
 
     Records: file, offset, header (all its lines), payload (binary; of an HTTP message what
-    follows its header). Only records that a chain of lengths from the start of their file
-    reaches are there: a record's text inside a payload is none, even if it is well formed.
-    Files: file, n_records, n_rejected (candidates not reached), read_to, size; where read_to
-    isn't size, the chain breaks there, which is an error if `strict`. Empty files have no row.
+    follows its header; or what `keep` makes of that, which alone is then written and
+    shuffled). Only records that a chain of lengths from the start of their file reaches are
+    there: a record's text inside a payload is none, even if it is well formed.
+    Files: file, n_records, n_rejected (candidates that are none), read_to, size. Where read_to
+    isn't size, what begins there has no whole header or leads to no magic and not to the end
+    of the file; that is an error if `strict`, else the file is read up to there. Empty files
+    have no row.
 
     A file is cut into blocks by Spark's settings and a record may cross them; a record is
-    one value, of 2 GB at most. Only pieces of payloads that hold the magic are shuffled.
+    one value, of 2 GB at most. Pieces of payloads that hold the magic are shuffled and put
+    together; those among them that look like whole records are read from the archives again.
     """
-    pieces = written(segments(spark, folder))
+    read = _pieces(spark, folder)
+    pieces = written(segments(read, keep))
     narrow = pieces.select("file", "block", "at", "n", "opening", F.col("found.size").alias("size"))
     narrow = checkpoint(_before(narrow, "at", F.col("n") + len(CUT), "start"))
     found = checkpoint(candidates(narrow))
-    kept = checkpoint(reachable(found))
+    reached = checkpoint(reachable(found))
     sizes = narrow.groupBy("file").agg((F.sum("n") + (F.count("*") - 1) * len(CUT)).alias("size"))
     made = found.groupBy("file").agg(F.count("*").alias("_all"))
-    ends = kept.groupBy("file").agg(F.count("*").alias("n_records"), F.max("next").alias("read_to"))
-    files = sizes.join(made, "file", "left").join(ends, "file", "left").select("file", F.coalesce("n_records", F.lit(0)).alias("n_records"), (F.coalesce("_all", F.lit(0)) - F.coalesce("n_records", F.lit(0))).alias("n_rejected"), F.coalesce("read_to", F.lit(0)).alias("read_to"), "size")
-    files = checkpoint(files.where("size > 0"))
+    ends = reached.groupBy("file").agg(F.max("offset").alias("_last"), F.max("next").alias("_end"))
+    cuts = narrow.select("file", (F.col("start") - len(MAGIC)).alias("_end"), F.lit(True).alias("_met"))
+    ends = checkpoint(sizes.where("size > 0").join(ends, "file", "left").join(cuts, ["file", "_end"], "left"))
+    # the last of a chain is no record unless it leads to a magic or to the end of the file
+    kept = reached.join(ends, "file").where("next <> _end OR _end = size OR _met").select(*reached.columns)
+    counted = kept.groupBy("file").agg(F.count("*").alias("_kept"))
+    n = F.coalesce("_kept", F.lit(0))
+    read_to = F.when((F.col("_end") == F.col("size")) | F.col("_met"), F.col("_end")).otherwise(F.coalesce("_last", F.lit(0)))
+    files = ends.join(made, "file", "left").join(counted, "file", "left").select("file", n.alias("n_records"), (F.coalesce("_all", F.lit(0)) - n).alias("n_rejected"), read_to.alias("read_to"), "size")
+    files = checkpoint(files)
     if strict and (bad := files.where("read_to <> size").first()):
-        raise ValueError(f"{bad.file}: no record begins at byte {bad.read_to} of {bad.size}")
+        raise ValueError(f"{bad.file}: the chain of records breaks behind byte {bad.read_to} of {bad.size}")
 
     starts = kept.select("file", "block", F.when(F.col("offset") > 0, F.col("offset") + len(MAGIC)).otherwise(0).alias("start"), "offset", F.col("next"))
     placed = narrow.select("file", "block", "at", "start").join(starts, ["file", "block", "start"], "left")
     of = F.struct("offset", "next")
     owned = _before(placed, "start", F.when(F.col("offset").isNotNull(), of), "owner", last=True).where("start < owner.next")
-    joined = pieces.select("file", "block", "at", "found", "raw").join(owned.select("file", "block", "at", "start", "owner", F.col("offset").isNotNull().alias("first")), ["file", "block", "at"])
+    keys = ["file", "block", "at"]
+    joined = checkpoint(owned.select(*keys, "start", "owner", F.col("offset").isNotNull().alias("first")).join(pieces.select(*keys, "found", "raw"), keys))
     whole = joined.where("first AND raw IS NULL").select("file", "owner.offset", "found.header", "found.payload")
-    rest = joined.where("raw IS NOT NULL").groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "raw"))), lambda x: x["raw"]), CUT).alias("text"))
+    rest = joined.where("raw IS NOT NULL").select("file", "owner", "start", "raw")
+    # a record inside a payload may be whole in its piece, which was not kept then
+    inner = checkpoint(joined.where("NOT first AND raw IS NULL").select(*keys, "owner", "start"))
+    if n := inner.count():
+        again = (F.broadcast(inner) if n <= BROADCAST_ROWS else inner).join(read, keys)
+        rest = rest.unionByName(again.select("file", "owner", "start", F.col("value").alias("raw")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "raw"))), lambda x: x["raw"]), CUT)
     skip = F.when(F.col("owner.offset") == 0, len(MAGIC)).otherwise(0)
-    parts = rest.withColumn("found", _parsed(F.col("text"), skip)).select("file", "owner.offset", "found.header", "found.payload")
+    parts = rest.groupBy("file", "owner").agg(text.alias("text")).withColumn("found", _parsed(F.col("text"), skip, keep)).select("file", "owner.offset", "found.header", "found.payload")
     return whole.unionByName(parts), files
 
 
 def op11_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     write_warc(table(spark, sf_dir, "pages"), folder)
-    found, _ = read_warc(spark, folder)
+    found, _ = read_warc(spark, folder, keep=lambda p: F.struct(F.octet_length(p).alias("n"), F.sha1(p).alias("hex")))
     header = F.col("header")
     kind, said = _named(header, "WARC-Type"), F.regexp_extract(header, r"(?im)^WARC-Payload-Digest:[ \t]*sha1:(\w+)", 1)
     again = kind == "revisit"
     return found.select(
         _named(header, "X-Page-Id").try_cast("bigint").alias("page_id"),
-        F.when(again, _named(header, "X-Payload-Bytes").try_cast("bigint")).otherwise(F.octet_length("payload")).cast("bigint").alias("payload_bytes"),
-        F.when(again, said).otherwise(base32(F.sha1("payload"))).alias("payload_digest"),
+        F.when(again, _named(header, "X-Payload-Bytes").try_cast("bigint")).otherwise(F.col("payload.n")).cast("bigint").alias("payload_bytes"),
+        F.when(again, said).otherwise(base32(F.col("payload.hex"))).alias("payload_digest"),
         kind.alias("record_type"), _named(header, "X-Refers-To-Page-Id").try_cast("bigint").alias("refers_to"),
     )
 
