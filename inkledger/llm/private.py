@@ -10,27 +10,35 @@ from .common import fresh, table
 #: Rounds of the Feistel network. The key is the caller's; this one is for tests.
 ROUNDS, KEY = 10, "public test key"
 
-#: What stands before a secret's value, in any case.
-HEAD = r"(?i:passwords?|passwd|pwd|passphrase|tokens?|secrets?|(?:api|access|auth)[_\-]?keys?)[\"']?\s{0,3}[=:]\s{0,3}"
-#: A value runs to its closing quote, or to the blank behind it without the marks of the sentence; it has four characters or more.
-VALUE = r"(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|\S{3,}[^\s\"'.,;:!?)\]}>])"
+#: Letters beyond ASCII, without the marks among them.
+BEYOND = "À-῿Ⰰ-⿯぀-퟿豈-﷏"
+#: What stands before a secret's value, in any case: a name that ends in one of these words and perhaps more, or a bearer's scheme.
+NAMED = r"(?i:passwords?|passwd|pwd|passphrase|tokens?|secrets?|credentials?|(?:api|access|auth|private|client|secret)[_\-]?keys?)(?:[_\-][A-Za-z0-9]+)*\d*[\"']?"
+HEAD = rf"(?:{NAMED}\s{{0,3}}[=:]\s{{0,3}}|{NAMED}\s(?i:is|was)\s(?=\S*[0-9!@#$%^&*])|(?<![A-Za-z])(?i:bearer)\s{{1,3}}(?=\S*\d))"
+#: A value runs to its closing quote, or to the blank behind it without the marks of the sentence.
+VALUE = r"(?:\"[^\"\n]+\"|'[^'\n]+'|\S*[^\s\"'.,;:!?)\]}>])"
+#: The user of an address of the web, and the password between it and the host.
+USER, PASSWORD = r"://[^\s/:@\"']*:", r"(?:[^\s/]+(?=@)|[^\s@]+(?=@))"
 BARE = (
-    r"AKIA[0-9A-Z]{16,}", r"gh[pousr]_[A-Za-z0-9]{16,}", r"sk-[A-Za-z0-9_\-]{16,}", r"xox[abprs]-[A-Za-z0-9\-]{10,}",
+    r"AKIA[0-9A-Z]{16,}", r"gh[pousr]_[A-Za-z0-9]{16,}", r"github_pat_[A-Za-z0-9_]{16,}", r"glpat-[A-Za-z0-9_\-]{16,}", r"AIza[A-Za-z0-9_\-]{30,}", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{10,}",
+    r"sk-[A-Za-z0-9_\-]{16,}", r"xox[abprs]-[A-Za-z0-9\-]{10,}",
     r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?",
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^\x00]*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)",
 )
 
-#: Kinds of finds in order: of those that begin at one place the first is taken. No find of a secret has an upper bound.
+#: Behind a blank, what is a number of its own and no part of the one before.
+_OWN = r"(?:\d{13,19}|\d{4}[ .\-]\d{4}[ .\-]\d{4}[ .\-]\d{1,7}|\d{4}[ .\-]\d{6}[ .\-]\d{4,5}|\d{3}[.\-]\d{3}[.\-]\d{4}|\d{3}-\d{2}-\d{4}|\d{4}-\d{1,2}-\d{1,2}|\d{1,2}-\d{1,2}-\d{4})(?!\d)"
+#: Kinds of finds in order: of those that begin at one place the first is taken. No find of a secret or an address has an upper bound.
 KINDS = {
-    "secret": rf"(?<![A-Za-z0-9])(?:{HEAD}{VALUE}|{'|'.join(BARE)})",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}\b",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "date": r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![.\-/]?\d)",
+    "secret": rf"(?:{HEAD}{VALUE}|{USER}{PASSWORD}|(?<![A-Za-z0-9])(?:{'|'.join(BARE)}))",
+    "email": rf"(?<![A-Za-z0-9._%+\-{BEYOND}])[A-Za-z0-9._%+\-{BEYOND}]++@(?:[A-Za-z0-9\-{BEYOND}]+\.)+(?:xn--[A-Za-z0-9\-]+|[A-Za-z{BEYOND}]{{2,}})",
+    "ip": r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "date": r"(?<!\d)(?<!\d[.\-/])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![.\-/]?\d)",
     # under code 1 ten digits follow; elsewhere groups of digits
-    "phone": r"(?<!\w)\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\w)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\w])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![.\-]?\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\-]?\d)",
+    "phone": r"(?<!\d)\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)(?<!\d[.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![.\-]?\d)",
+    "ssn": r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?![\-]?\d)",
     # whole; four and more groups of four; 4-6-5; any other grouping
-    "card": r"(?<![\d.\-])(?:\d{13,19}(?!\.?\d)|\d{4}([ \-])\d{4}(?:\3\d{4})++(?:\3\d{1,7})?+(?!\.?\d)|\d{4}([ \-])\d{6}\4\d{4,5}(?!\.?\d)|\d(?:[ \-]?\d){12,18}(?![.\-]?\d))",
+    "card": rf"(?<!\d)(?:\d{{13,19}}(?!\d)|\d{{4}}([ .\-])\d{{4}}(?:\3\d{{4}})++(?:\3\d{{1,7}})?+(?!\d)|\d{{4}}([ .\-])\d{{6}}\4\d{{4,5}}(?!\d)|\d(?:-?\d| (?!{_OWN})\d){{12,18}}(?!\d))",
 }
 
 
@@ -133,7 +141,7 @@ def card(find: Column, key: Column, back: bool = False) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("skip")), step)["out"]
 
-    cut = F.struct(F.split(find, "[ -]").alias("groups"), F.regexp_extract_all(find, F.lit("[ -]"), F.lit(0)).alias("marks"))
+    cut = F.struct(F.split(find, "[ .-]").alias("groups"), F.regexp_extract_all(find, F.lit("[ .-]"), F.lit(0)).alias("marks"))
     return F.transform(F.array(cut), read)[0]
 
 
@@ -185,12 +193,14 @@ CYCLE, CYCLE_LEFT, CYCLE_RIGHT, CYCLE_START = 146_097, 189, 773, -135_140
 def date(find: Column, key: Column, back: bool = False) -> Column:
     """A day of the years 1600 to 1999 or 2000 to 2399 is permuted among those of its 400 years; what is no date stays.
 
-    Year first, or else day before month; if only month before day gives a date, that.
+    Year first, or else day before month; if only month before day gives a date, that. Where
+    a day or month below ten has one digit, those of the new date have no zero before them.
     """
     mark = F.substring(F.regexp_extract(find, r"[-/.]", 0), 1, 1)
     p = F.split(find, r"[-/.]")
     year_first = F.length(p[0]) == 4
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
+    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    bare = find.rlike(r"(?<!\d)\d(?!\d)")
     dmy, mdy = made(p[2], p[1], p[0]), made(p[2], p[0], p[1])
     day = F.when(year_first, made(p[0], p[1], p[2])).otherwise(F.coalesce(dmy, mdy))
     offset = F.unix_date(day) - CYCLE_START
@@ -199,7 +209,7 @@ def date(find: Column, key: Column, back: bool = False) -> Column:
 
     def text(q: Column) -> Column:
         new = F.date_from_unix_date((cycle * CYCLE + CYCLE_START + q["l"] * CYCLE_RIGHT + q["r"]).cast("int"))
-        form = lambda f: F.date_format(new, f)
+        form = lambda f: F.date_format(new, f) if f == "yyyy" else F.when(bare, F.date_format(new, f[0])).otherwise(F.date_format(new, f))
         return (
             F.when(year_first, F.concat_ws("|", form("yyyy"), form("MM"), form("dd")))
             .when(dmy.isNotNull(), F.concat_ws("|", form("dd"), form("MM"), form("yyyy")))
@@ -216,7 +226,7 @@ def email(find: Column, key: Column) -> Column:
 
 def secret(find: Column, key: Column) -> Column:
     """What stands before the value, such as `password=`, stays, and so do quotes around it."""
-    head = F.regexp_extract(find, rf"^{HEAD}[\"']?", 0)
+    head = F.regexp_extract(find, rf"^(?:{HEAD}[\"']?|{USER})", 0)
     rest = F.substring(find, F.length(head) + 1, F.length(find))
     quote = F.when(head.rlike("[\"']$"), F.regexp_extract(rest, "[\"']$", 0)).otherwise("")
     value = F.substring(rest, F.lit(1), F.length(rest) - F.length(quote))
@@ -232,11 +242,11 @@ def _pattern() -> str:
     The kinds of numbers stand behind one look at the character they begin with.
     """
     some = lambda *kinds: "|".join(f"(?:{KINDS[k]})" for k in kinds)
-    return rf"(?=[A-Za-z\-])(?:{some('secret')})|(?=[A-Za-z0-9])(?:{some('email')})|(?=[0-9+(])(?:{some('ip', 'date', 'phone', 'ssn', 'card')})"
+    return rf"(?=[A-Za-z\-:])(?:{some('secret')})|(?=[A-Za-z0-9._%+\-{BEYOND}])(?:{some('email')})|(?=[0-9+(])(?:{some('ip', 'date', 'phone', 'ssn', 'card')})"
 
 
 #: What every find has one of: a digit, the mark of an address or of a value, or the beginning of a bare secret.
-GATE = r"[0-9@=:]|AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|PRIVATE KEY"
+GATE = r"[0-9@=:]|AKIA|gh[pousr]_|github_pat|glpat-|AIza|_live_|_test_|sk-|xox[abprs]-|eyJ|PRIVATE KEY|(?i:passw|passphrase|pwd|token|secret|credential)"
 
 
 def kind_of(find: Column) -> Column:
