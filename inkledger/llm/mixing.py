@@ -34,10 +34,10 @@ def _targets(sizes: DataFrame, source: str, share: float, most: float, weights,
     ranked = ranked.withColumn("weight", F.get(w, F.pmod("rank", F.lit(len(weights))))).withColumn("slope", F.get(a, F.pmod("rank", F.lit(len(slopes)))))
     ranked = ranked.withColumn("limit", most * F.col("source_size")).withColumn("fill", F.col("limit") / F.col("weight"))
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy("_all")
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
     levels = ranked.withColumn("demand", share * F.sum("source_size").over(whole)).withColumn(
-        "level", (F.col("demand") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+        "level", (F.col("demand") - so_far("limit")) / (F.sum("weight").over(whole) - so_far("weight"))
     )
     # the first source in order of fill that the level of the rest doesn't fill sets the level
     level = F.min(F.when(F.col("level") < F.col("fill"), F.struct("fill", "level"))).over(whole)["level"]
@@ -72,10 +72,14 @@ def mix(docs: DataFrame, size: str, source: str = "source", key: tuple[str, ...]
         raise ValueError("slopes lie between -1 and 1")
     docs = docs.drop("source_size", "target", "taken", "positions")
     pieces = pieces or pieces_of(docs)  # no task sums a whole source
+    if pieces & (pieces - 1):
+        raise ValueError("the number of pieces is a power of two")
     h, piece, before, c, src, limit = fresh(docs, "_hash", "_piece", "_before", "_start", "_source", "_slope")
     keys = [F.col(f"`{x}`") for x in key]
     digest = F.md5(F.concat_ws("|", F.lit("mix"), *[x.cast("string") for x in keys]))
-    d = docs.withColumn(h, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn(piece, F.pmod(F.col(h), F.lit(pieces)))
+    d = docs.withColumn(h, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    # by its first bits, so that the order is that of the hash into however many pieces it is cut
+    d = d.withColumn(piece, F.shiftright(h, 60 - pieces.bit_length() + 1))
     d = d.withColumn(src, F.coalesce(F.concat(F.lit("0"), F.col(f"`{source}`")), F.lit("1")))  # null sorts last
     counts = d.groupBy(src, piece).agg(F.sum(size).alias("n"))
     targets = _targets(counts.groupBy(src).agg(F.sum("n").alias("source_size")), src, share, most, weights, slopes)
@@ -131,7 +135,7 @@ a AS (SELECT arg_min(level, fill) AS level FROM l WHERE level < fill),
 t AS (SELECT src, source_size, least(cap, coalesce((SELECT level FROM a) * weight, cap)) AS target, slope FROM l),
 h AS (SELECT d.*, CAST(('0x' || substr(md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR), text_hash)), 1, 15)) AS BIGINT) AS h FROM d),
 c AS (SELECT h.*, source_size, target, slope,
-             CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY h % 256, h, doc_id, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+             CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM h JOIN t USING (src)),
 e AS (SELECT *, CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start)) AS BIGINT) AS one,
              CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - source_size)) AS BIGINT) AS two,

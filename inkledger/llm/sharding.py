@@ -43,10 +43,13 @@ def shard_records(docs: DataFrame, key: str = "doc_id", shards: int = 24, weight
     docs = docs.drop("shard", "slot", "grown_shard")
     top, best, grown, piece, order, start = fresh(docs, "_top", "_best", "_grown", "_piece", "_order", "_start")
     pieces = pieces or pieces_of(docs)
+    if pieces & (pieces - 1):
+        raise ValueError("the number of pieces is a power of two")
     more = bid(k, F.lit(shards), F.lit(1.0))
     placed = docs.withColumn(top, winner(k, weights)).withColumns({best: F.col(top)["j"], grown: F.greatest(F.col(top), more)["j"]}).drop(top)
     placed = placed.withColumn(order, F.xxhash64(F.lit("slot"), k, *[F.col(f"`{c}`") for c in salt]))
-    placed = placed.withColumn(piece, F.pmod(F.col(order), F.lit(pieces)))
+    # by its first bits, so that the order doesn't depend on the number of pieces
+    placed = placed.withColumn(piece, F.shiftrightunsigned(order, 64 - pieces.bit_length() + 1))
     counts = placed.groupBy(best, piece).agg(F.count("*").alias("n"))
     starts = starts_of(counts, best, piece, "n", start)
     within = F.row_number().over(Window.partitionBy(best, piece).orderBy(order, k))
