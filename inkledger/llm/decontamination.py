@@ -14,6 +14,8 @@ from .common import fresh, table
 WINDOW = 10
 #: Benchmark texts are broadcast in blocks of at most about so many bytes, read one after another.
 BLOCK_BYTES = 4 << 20
+#: Texts are searched in shards of about so many bytes; each shard looks at every window of a block once.
+SHARD_BYTES = 4 << 20
 
 FOUND = pa.struct(
     [
@@ -57,7 +59,28 @@ def block_of(items: list[tuple[str, str]], window: int) -> dict:
     rows = _rows(seq, suffix, window)
     new = np.append(True, (rows[1:] != rows[:-1]).any(1))
     owner = np.searchsorted(begin, suffix, side="right") - 1
-    return {"names": [i for i, _ in items], "vocab": vocab, "seq": seq.astype(np.int32), "suffix": suffix, "owner": owner, "first": np.append(np.flatnonzero(new), len(suffix)), "window": window}
+    # the windows, each once, their lengths, and the pairs of neighbouring words that stand in each (0: no pair)
+    wins = rows[new]
+    joint = _pairs(wins[:, :-1], wins[:, 1:], len(vocab))
+    pairs, pair_of = np.unique(joint, return_inverse=True)
+    return {
+        "names": [i for i, _ in items], "vocab": vocab, "seq": seq.astype(np.int32), "suffix": suffix, "owner": owner, "first": np.append(np.flatnonzero(new), len(suffix)), "window": window,
+        "wins": wins.astype(np.int32), "sizes": (wins > 0).sum(1), "pairs": pairs, "pair_of": pair_of.reshape(joint.shape).astype(np.int32),
+    }
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """A number for each pair of neighbouring words, 0 where either is none."""
+    return np.where((a > 0) & (b > 0), a.astype(np.int64) * (n + 1) + b, 0)
+
+
+def possible(seq: np.ndarray, b: dict) -> np.ndarray:
+    """Numbers of the windows all of whose words, and pairs of neighbouring words, stand in the shard: no other can be found in it."""
+    there = np.zeros(len(b["vocab"]) + 1, bool)
+    there[seq] = there[0] = True
+    own = np.unique(_pairs(seq[:-1], seq[1:], len(b["vocab"])))
+    met = np.isin(b["pairs"], own, assume_unique=True) | (b["pairs"] == 0)
+    return np.flatnonzero(there[b["wins"]].all(1) & met[b["pair_of"]].all(1))
 
 
 def _rows(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -178,16 +201,17 @@ def search(data: np.ndarray, bounds: np.ndarray, blocks) -> list[dict]:
         seq = np.zeros(total, np.int64)
         pos = np.minimum(np.searchsorted(b["vocab"], w.hash), len(b["vocab"]) - 1)
         seq[at] = np.where(b["vocab"][pos] == w.hash, pos + 1, 0)
-        wins = _rows(b["seq"], b["suffix"][b["first"][:-1]], b["window"])
-        sizes = (wins > 0).sum(1)
-        sa = suffix_array(seq, b["window"], int(sizes.min()))
-        lo = _bound(seq, sa, wins, sizes, False)
-        n_found = _bound(seq, sa, wins, sizes, True) - lo
+        sizes, some = b["sizes"], possible(seq, b)
+        if not len(some):
+            continue
+        sa = suffix_array(seq, b["window"], int(sizes[some].min()))
+        lo = _bound(seq, sa, b["wins"][some], sizes[some], False)
+        n_found = _bound(seq, sa, b["wins"][some], sizes[some], True) - lo
         hit = np.flatnonzero(n_found)
         if not len(hit):
             continue
         count = n_found[hit]
-        win = np.repeat(hit, count)
+        win = np.repeat(some[hit], count)
         place = sa[np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         np.add.at(cover, place, 1)
         np.add.at(cover, place + sizes[win], -1)
@@ -242,7 +266,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     @F.arrow_udf(FOUND_SQL)
     def leaks(texts: pa.Array) -> pa.Array:
-        return pa.array([x for _, data, bounds in shards(texts) for x in search(data, bounds, _read(blocks))], FOUND)
+        return pa.array([x for _, data, bounds in shards(texts, SHARD_BYTES) for x in search(data, bounds, _read(blocks))], FOUND)
 
     return docs.drop("leaks").withColumn("leaks", leaks(F.col(f"`{text}`")))
 
