@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import duckdb
 import pytest
@@ -108,19 +109,31 @@ def distance(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("block", [1, 3, 8, 2048])
+def test_word_edits(monkeypatch, block):
+    monkeypatch.setattr(scoring, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        assert scoring.word_edits(a, b) == distance(a, b)
+
+
 def test_word_errors_of_long_texts(spark):
-    """Numbers of words that stand on both sides of the surrogates and beyond the basic plane."""
-    many = [f"w{k}" for k in range(70_000)]
-    base = " ".join(many)
-    for cut in (55_290, 65_500):
-        truth, pred = many[cut : cut + 30], many[cut : cut + 10] + ["other"] + many[cut + 12 : cut + 30]
-        df = spark.createDataFrame([(" ".join(pred), " ".join(truth))], "p string, t string")
-        assert df.select(scoring.wer(df.p, df.t)).first()[0] == pytest.approx(distance(truth, pred) / 30)
-    code = spark.createDataFrame([(k,) for k in (1, 55_264, 55_265, 65_505, 999_999)], "k int").select(scoring._character(F.col("k")).alias("c")).collect()
-    assert len({r.c for r in code}) == 5 and all(len(r.c) == 1 for r in code) and len(base) > 0
-    words = many[:24_000]
-    df = spark.createDataFrame([(" ".join(words[100:]), " ".join(words))], "p string, t string")
-    assert df.select(scoring.wer(df.p, df.t)).first()[0] == pytest.approx(100 / 24_000)
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(70_000)}" for _ in range(50_000)]
+    few, other = [*words[100:20_000], "new", *words[20_000:]], [f"v{k}" for k in range(9_000)]
+    mixed = [w if k % 50 else "x" for k, w in enumerate(words[:20_000])]
+    rows = [(" ".join(few), " ".join(words)), (" ".join(other), " ".join(words[:9_000])), (" ".join(mixed), " ".join(words[:20_000]))]
+    df = spark.createDataFrame(rows, "p string, t string")
+    got = [r.w for r in df.select(scoring.wer(df.p, df.t).alias("w")).collect()]
+    assert got == [pytest.approx(101 / 50_000), 1.0, pytest.approx(400 / 20_000)]
+
+
+def test_character_errors(spark):
+    rng = random.Random(3)
+    pairs = [("x" * 99, "y"), *[tuple("".join(rng.choice("abé") for _ in range(rng.randint(1, 90))) for _ in range(2)) for _ in range(60)]]
+    df = spark.createDataFrame(pairs, "p string, t string")
+    assert [r.c for r in df.select(scoring.cer(df.p, df.t).alias("c")).collect()] == [pytest.approx(min(1, distance(t, p) / len(t))) for p, t in pairs]
 
 
 def test_naming_of_empty_items(spark):
