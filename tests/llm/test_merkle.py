@@ -62,7 +62,7 @@ def manifest(spark, rows):
     return merkle.manifest(clashing)
 
 
-@pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 27, 28, 82, 900])
+@pytest.mark.parametrize("size", [0, 1, 4, 28, 900])
 def test_roots_and_proofs(spark, size):
     rows = [(k, "hot", "en", 3, f"text {k}\n") for k in range(size)]
     if size in (4, 900):
