@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +69,31 @@ def processed_name(name: Column) -> Column:
     return F.concat(F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", ""), F.lit("_clean.png"))
 
 
+@cache
+def _plain_forms() -> str:
+    """Each character beyond ASCII that is made of ASCII ones and marks, and those, as the text of a map."""
+    forms = []
+    for point in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        plain = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+        if plain:
+            forms.append(f"{chr(point)}\x02{plain}")
+    return "\x01".join(forms)
+
+
+def to_ascii(text: Column) -> Column:
+    """The text with accents taken off and joined letters parted; what is made of no ASCII character is left out."""
+    known = F.str_to_map(F.lit(_plain_forms()), F.lit("\x01"), F.lit("\x02"))
+    plain = F.transform(F.split(text, ""), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.element_at(known, c), F.lit(""))))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(plain, "")).otherwise(text)
+
+
 def unique_stem(name: Column, at: Column) -> Column:
     """The time in UTC to a microsecond, and the stem of a file name made safe, or `upload` where nothing of it is left.
 
-    Safe are ASCII letters, digits, dots, dashes and underscores; path marks and blanks become underscores.
+    Safe are ASCII letters, digits, dots, dashes and underscores, other letters in their plain
+    form; path marks and blanks become underscores.
     """
-    plain = F.regexp_replace(F.translate(F.coalesce(name, F.lit("")), "/\\", "  "), r"\A\s+|\s+\z", "")
+    plain = F.regexp_replace(F.translate(to_ascii(F.coalesce(name, F.lit(""))), "/\\", "  "), r"\A\s+|\s+\z", "")
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s+", "_"), r"[^A-Za-z0-9_.\-]", ""), r"\A[._]+|[._]+\z", "")
     stem = F.regexp_replace(safe, r"(?<=.)\.[^.]*$", "")
     return F.concat(F.date_format(at, "yyyyMMdd'T'HHmmssSSSSSS"), F.lit("_"), F.when(stem == "", "upload").otherwise(stem))

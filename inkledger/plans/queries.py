@@ -138,7 +138,7 @@ def corrections_save(spark, sf_dir):
 def unique_stem(spark, sf_dir):
     """Names of uploads, good and bad, at the times of orders."""
     k = F.col("o_orderkey")
-    name = F.get(F.array(*map(F.lit, ("my scan.png", "../../etc/passwd", "..", "", "a/b c.tar.gz", "_x_.JPG", "???.png"))), (k % 7).cast("int"))
+    name = F.get(F.array(*map(F.lit, ("my scan.png", "../../etc/passwd", "..", "", "a/b c.tar.gz", "_x_.JPG", "???.png", "été 2026.png", "Straße ﬁn\u00a0al.jpg", "Ñandú½.tiff", "日本.png"))), (k % 11).cast("int"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select("o_orderkey", S.unique_stem(name, F.timestamp_seconds(F.lit(1_700_000_000) + k)).alias("stem"), S.processed_name(name).alias("processed"))
 
@@ -228,7 +228,7 @@ pairs AS MATERIALIZED (
   SELECT ta.stem, ta.row_pos, coalesce(tb.row_pos, lb.row_pos) AS other_pos
   FROM ta LEFT JOIN tb ON tb.stem = ta.stem AND tb.nd = ta.nd AND tb.k = ta.k
   LEFT JOIN la ON la.stem = ta.stem AND la.row_pos = ta.row_pos LEFT JOIN lb ON lb.stem = la.stem AND lb.j = la.j),
-met AS (
+met AS MATERIALIZED (
   SELECT ta.stem, ta.row_pos, ta.date, ta.item, ta.qty, ta.price, ta.total, p.other_pos, tb.date AS other_date,
          coalesce(tb.date, '') AS od, coalesce(tb.qty, '') AS oq, coalesce(tb.price, '') AS op, coalesce(tb.total, '') AS ot
   FROM ta JOIN pairs p ON p.stem = ta.stem AND p.row_pos = ta.row_pos LEFT JOIN tb ON tb.stem = p.stem AND tb.row_pos = p.other_pos),
@@ -318,5 +318,5 @@ SELECT o_orderkey, name, regexp_matches(lower(name), '\.(png|jpg|jpeg|tif|tiff|b
 FROM (SELECT o_orderkey, 'scan_' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '_clean' ELSE '' END || '.' || ['png', 'JPG', 'txt', 'webp', 'tiff', 'csv'][o_orderkey % 6 + 1] AS name FROM orders)"""
 ORACLES["documents_dates"] = rf"""SELECT doc_id, regexp_extract(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g'), '\b{_DATE}\b') AS date FROM documents"""
 ORACLES["unique_stem"] = r"""
-SELECT o_orderkey, strftime(make_timestamp((1700000000 + o_orderkey) * 1000000), '%Y%m%dT%H%M%S%f') || '_' || ['my_scan', 'etc_passwd', 'upload', 'upload', 'a_b_c.tar', 'x_', 'png'][o_orderkey % 7 + 1] AS stem,
-       ['my scan', '../../etc/passwd', '.', '', 'a/b c.tar', '_x_', '???'][o_orderkey % 7 + 1] || '_clean.png' AS processed FROM orders"""
+SELECT o_orderkey, strftime(make_timestamp((1700000000 + o_orderkey) * 1000000), '%Y%m%dT%H%M%S%f') || '_' || ['my_scan', 'etc_passwd', 'upload', 'upload', 'a_b_c.tar', 'x_', 'png', 'ete_2026', 'Strae_fin_al', 'Nandu12', 'png'][o_orderkey % 11 + 1] AS stem,
+       ['my scan', '../../etc/passwd', '.', '', 'a/b c.tar', '_x_', '???', 'été 2026', 'Straße ﬁn' || chr(160) || 'al', 'Ñandú½', '日本'][o_orderkey % 11 + 1] || '_clean.png' AS processed FROM orders"""
