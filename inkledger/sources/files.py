@@ -60,6 +60,12 @@ def decoded_images(spark: SparkSession, path: str, strict: bool = False) -> Data
     return files.select(stem_of(file_name(F.col("origin"))).alias("stem"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
+def decoded_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(stem, path, height, width, channels, data) of these images; what can't be decoded is left out."""
+    some = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+    return some.select(stem_of(file_name(F.col("origin"))).alias("stem"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(stem, text) of the folder's .txt files, each file one row."""
     read = lambda: spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))

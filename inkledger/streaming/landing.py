@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkledger.operators import extraction
+from inkledger.operators import extraction, imaging
+from inkledger.plans.lineage import checkpoint as written
+from inkledger.sources import files, sinks
 from inkledger.sources.files import stem_of
 
 
@@ -33,3 +35,31 @@ def parse_landing(stream: DataFrame, store: str, checkpoint: str, once: bool = F
     rows = extraction.extract_fields(stream)
     out = rows.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True).start() if once else out.start()
+
+
+#: Below the folder of cleaned images, what each batch put there; readers of images pass over it.
+DONE = "_batches"
+
+
+def clean_landing(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = False, per_batch: int = 100) -> StreamingQuery:
+    """Clean images as they land: stem_clean.png in the folder out, and (stem, path, bytes, sha256) of each below out/_batches/batch=N.
+
+    Each image is taken in one batch. A batch that is done again writes the same files and
+    the same record of them, so each counts once. Of several images of one stem in a batch
+    the last path's is cleaned; one of a later batch replaces it. What can't be decoded is
+    passed over. The driver holds the paths of one batch, `per_batch` at most.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        paths = [row.path for row in batch.select("path").collect()]
+        if not paths:
+            return
+        last = files.decoded_paths(batch.sparkSession, paths).groupBy("stem").agg(F.max_by(F.struct("height", "width", "channels", "data", "path"), "path").alias("i")).select("stem", "i.*")
+        made = written(imaging.clean(last).where("cleaned.png IS NOT NULL").select("stem", "path", F.concat("stem", F.lit("_clean.png")).alias("name"), F.col("cleaned.png").alias("png")))
+        sinks.write_files(made, out, "name", "png")
+        made.select("stem", "path", F.octet_length("png").alias("bytes"), F.sha2("png", 256).alias("sha256")).write.mode("overwrite").parquet(f"{out}/{DONE}/batch={number}")
+
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    landed = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", files.IMAGE_GLOB).option("maxFilesPerTrigger", per_batch).load(folder)
+    stream = landed.select("path").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start() if once else stream.start()
