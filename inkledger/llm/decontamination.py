@@ -79,7 +79,8 @@ def possible(seq: np.ndarray, b: dict) -> np.ndarray:
     there = np.zeros(len(b["vocab"]) + 1, bool)
     there[seq] = there[0] = True
     own = np.unique(_pairs(seq[:-1], seq[1:], len(b["vocab"])))
-    met = np.isin(b["pairs"], own, assume_unique=True) | (b["pairs"] == 0)
+    place = np.minimum(np.searchsorted(own, b["pairs"]), len(own) - 1)
+    met = (own[place] == b["pairs"] if len(own) else False) | (b["pairs"] == 0)
     return np.flatnonzero(there[b["wins"]].all(1) & met[b["pair_of"]].all(1))
 
 
@@ -204,6 +205,10 @@ def search(data: np.ndarray, bounds: np.ndarray, blocks) -> list[dict]:
         sizes, some = b["sizes"], possible(seq, b)
         if not len(some):
             continue
+        # a match is made of such windows, so that other words end it like words of no item
+        live = np.zeros(len(b["vocab"]) + 1, bool)
+        live[b["wins"][some]] = True
+        seq[~live[seq]] = 0
         sa = suffix_array(seq, b["window"], int(sizes[some].min()))
         lo = _bound(seq, sa, b["wins"][some], sizes[some], False)
         n_found = _bound(seq, sa, b["wins"][some], sizes[some], True) - lo
