@@ -12,6 +12,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: How the weight of each source moves over training, likewise in turn: w(t) is in proportion to 1 + slope * (2t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
 
+#: Columns that mixing and its order make, instead of those of the same name.
+MADE = ("source_size", "target", "taken", "positions", "position")
+
 
 def words(text: Column) -> Column:
     """How many runs of other characters than ASCII white space the text has; null has none."""

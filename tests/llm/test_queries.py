@@ -5,6 +5,7 @@ import math
 import re
 import struct
 import zlib
+from collections import Counter
 from datetime import date, timedelta
 
 import numpy as np
@@ -468,3 +469,32 @@ def test_pipeline(spark, tmp_path):
     assert all(x == list(range(len(x))) for x in slots.values())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, rows repeated whole, and columns named like those that stages make for themselves."""
+    rng = np.random.default_rng(12)
+    plain = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n)) + "."
+    rows = [(k, plain(80), "en", "ab"[k % 2], 400) for k in range(60)]
+    rows += [rows[3]] * 2 + [(100, None, "en", "a", None), (101, "", None, None, 0), (None, plain(70), "en", "a", 300), (None, plain(70), "en", None, 300), (102, plain(60_000), "en", "b", 300_000), (103, " \n\t", "en", "b", 3)]
+    extra = ("_score", "leaks", "_size", "_hash", "taken", "shard", "SLOT", "component", "h", "Band")
+    table_ = pa.table({n: [r[k] for r in rows] for k, n in enumerate(("doc_id", "text", "lang", "source", "n_chars"))} | {n: [n] * len(rows) for n in extra})
+    pq.write_table(table_, tmp_path / "documents.parquet")
+    pq.write_table(pa.Table.from_pylist([{"doc_id": k, "quality": int(k % 9 > 0), "toxic": 0} for k in range(60)]), tmp_path / "labels.parquet")
+    pq.write_table(pa.Table.from_pylist([{"item_id": 1, "text": plain(30)}, {"item_id": None, "text": None}, {"item_id": 2, "text": ""}]), tmp_path / "benchmark.parquet")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        texts_ = [r.text for r in got]
+        if name != "sharding":
+            assert out.columns == docs.columns and all(tuple(r[n] for n in extra) == extra for r in got)
+        if name == "near_duplicates":
+            assert len(set(texts_)) == len(texts_) and {r[1] for r in rows[:60]} <= set(texts_)
+        if name == "decontamination":
+            assert len(got) == len(rows)  # none holds a passage of the benchmark
+        if name == "mixing":
+            assert set(texts_) <= {r[1] for r in rows} and max(Counter((r.doc_id, r.text) for r in got if r.doc_id != 3).values()) <= 2
+        if name == "sharding":
+            assert sorted(map(repr, texts_)) == sorted(repr(r[1]) for r in rows)
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("doc_id IS NULL").count() <= 4
