@@ -28,9 +28,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, none, once or twice each as their source's target asks, in order of training."""
-    (size,) = fresh(docs, "_size")
-    mixed = mixing.mix(docs.withColumn(size, mixing.words(F.col("text"))), size, key=("doc_id", "text"), whole=True)
-    return mixing.ordered(mixed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clashing = [c for c in docs.columns if c.lower() in mixing.MADE]
+    size, *aside = fresh(docs, "_size", *[f"_own{k}" for k in range(len(clashing))])
+    names = dict(zip(clashing, aside, strict=True))
+    mixed = mixing.mix(docs.withColumnsRenamed(names).withColumn(size, mixing.words(F.col("text"))), size, key=("doc_id", "text"), whole=True)
+    return mixing.ordered(mixed).select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
