@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger.llm import decontamination, mixing, quality, sharding, shingles
-from inkledger.llm.common import checkpoint, fresh, table
+from inkledger.llm.common import fresh, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written to the checkpoint folder for the next."""
+    """The stages over documents, each one's rows written as Parquet to the shared folder and read from there by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs = written(docs)
     return docs
