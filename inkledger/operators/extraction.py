@@ -1,4 +1,4 @@
-"""Recognised text to ledger rows, row by row and without a shuffle."""
+"""Recognised text to ledger rows: a text is cut into row texts by patterns, and each is read by patterns, without a shuffle."""
 
 from __future__ import annotations
 
@@ -10,86 +10,75 @@ from pyspark.sql import functions as F
 from inkledger.functions import semantics as S
 
 
-def kind(token: Column) -> Column:
-    """d for a date, m for an amount, i for a whole number, else ''. No token is two of them."""
-    return (
-        F.when(~token.rlike(r"(?U)\d"), F.lit("")).when(S.is_whole(token, S.DATE), F.lit("d")).when(S.is_whole(token, S.MONEY), F.lit("m"))
-        .when(S.is_whole(token, S.INT), F.lit("i")).otherwise(F.lit(""))
-    )
+def _token(pattern: str) -> str:
+    """A whole token of the kind, with the blank before it."""
+    return rf" (?:{pattern})(?=[ \n]|\z)"
 
 
-def read_line(line: Column) -> Column:
-    """(date, tokens): the first date in the line and its tokens (t, kind)."""
-    tokens = F.transform(S.tokens_of(line), lambda t: F.struct(t.alias("t"), kind(t).alias("kind")))
-    return F.struct(S.find_date(line).alias("date"), tokens.alias("tokens"))
+DATE_TOKEN, MONEY_TOKEN = _token(S.DATE), _token(S.MONEY)
+#: The beginning of a line that has a date, an amount and three tokens or more.
+COMPLETE = rf"(?md)^(?=[^\n]*(?:{S.DATE}))(?=[^\n]*{MONEY_TOKEN})(?= [^ \n]+ [^ \n]+ [^ \n])"
+#: A line with a date.
+DATED = rf"(?md)^(?=[^\n]*(?:{S.DATE}))[^\n]+"
 
 
-def _complete(read: Column) -> Column:
-    return (read["date"] != "") & F.exists(read["tokens"], lambda t: t["kind"] == "m") & (F.size(read["tokens"]) >= 3)
+def plain(text: Column) -> Column:
+    """The text's lines that have tokens, parted by \\n, with one blank before each token and no other."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), S.LINE_END, "\n")
+    blanks = F.regexp_replace(lines, r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
+    return F.concat(F.lit(" "), F.regexp_replace(F.btrim(blanks, F.lit(" \n")), r" ?\n[ \n]*", "\n "))
 
 
 def complete_line(line: Column) -> Column:
     """A date, an amount and three words or more."""
-    return F.transform(F.array(read_line(line)), _complete)[0]
+    return plain(line).rlike(COMPLETE)
 
 
-def _shape(read: Column) -> Column:
-    return F.when(F.size(F.filter(read, _complete)) >= 2, F.lit("flat")).otherwise(F.lit("tokens"))
+def _flat(lines: Column) -> Column:
+    return F.regexp_count(lines, F.lit(COMPLETE)) >= 2
 
 
-def shape(lines: Column) -> Column:
-    return F.transform(F.array(F.transform(lines, read_line)), _shape)[0]
+def shape(text: Column) -> Column:
+    return F.when(_flat(plain(text)), F.lit("flat")).otherwise(F.lit("tokens"))
 
 
-def segments(tokens: Column) -> Column:
+def segments(lines: Column) -> Column:
     """The runs of tokens that begin at a token that is a date; what stands before the first is left out."""
-    at = F.filter(F.transform(tokens, lambda t, i: F.when(t["kind"] == "d", i)), lambda i: i.isNotNull())
-    cut = lambda a: F.transform(a, lambda i, k: F.slice(tokens, i + 1, F.coalesce(F.get(a, k + 1), F.size(tokens)) - i))
-    return F.flatten(F.transform(F.array(at), cut))
+    marked = F.regexp_replace(F.translate(lines, "\n", ""), rf"(?={DATE_TOKEN})", "\n")
+    return F.slice(F.split(marked, "\n"), 2, 1 << 30)
 
 
-def classify(words: Column) -> Column:
-    """One row of its tokens: amounts from the end, the first whole number, and the rest as item; `line` is the tokens as written."""
+def row_texts(lines: Column) -> Column:
+    """The tokens of each row of a text's plain lines, in order: lines with a date if two at least are complete, else runs of tokens from dates on."""
+    return F.when(_flat(lines), F.regexp_extract_all(lines, F.lit(DATED), F.lit(0))).otherwise(segments(lines))
 
-    def row(rest: Column) -> Column:
-        money = F.transform(F.filter(rest, lambda t: t["kind"] == "m"), lambda t: S.norm_money(t["t"]))
-        first_int = F.array_position(F.transform(rest, lambda t: t["kind"]), F.lit("i"))  # from 1; 0 if none
-        item = F.transform(F.filter(rest, lambda t, i: (t["kind"] != "m") & (i + 1 != first_int)), lambda t: t["t"])
-        line = F.array_join(F.transform(words, lambda t: t["t"]), " ")
-        return F.struct(
-            S.find_date(line).alias("date"),
-            F.array_join(item, " ").alias("item"),
-            F.coalesce(F.get(rest, (first_int - 1).cast("int"))["t"], F.lit("")).alias("qty"),
-            F.coalesce(F.get(money, F.size(money) - 2), F.lit("")).alias("price"),
-            F.coalesce(F.get(money, F.size(money) - 1), F.lit("")).alias("total"),
-            line.alias("line"),
-        )
 
-    return F.transform(F.array(F.filter(words, lambda t: t["kind"] != "d")), row)[0]
-
-
-def rows_of(text: Column) -> Column:
-    """Array of rows of a text, in order: from whole lines if two lines at least are complete, else from runs of tokens."""
-
-    def parse(read: Column) -> Column:
-        flat = F.transform(F.filter(read, lambda x: x["date"] != ""), lambda x: x["tokens"])
-        loose = segments(F.flatten(F.transform(read, lambda x: x["tokens"])))
-        return F.when(_shape(read) == "flat", flat).otherwise(loose)
-
-    read = F.array(F.transform(S.lines_of(text), read_line))
-    made = F.filter(F.transform(F.flatten(F.transform(read, parse)), classify), lambda r: r["date"] != "")
-    return F.transform(made, lambda r, i: F.struct(i.alias("row_pos"), *[r[f].alias(f) for f in (*S.FIELDS, "line")]))
+def row_fields(row: Column) -> dict[str, Column]:
+    """The fields of one row text: amounts from the end, the first whole number, and the rest as item."""
+    rest = F.regexp_replace(row, DATE_TOKEN, "")
+    money = F.regexp_extract_all(rest, F.lit(MONEY_TOKEN), F.lit(0))
+    from_end = lambda k: F.coalesce(S.norm_money(F.get(money, F.size(money) - k)), F.lit(""))
+    words = F.regexp_replace(rest, MONEY_TOKEN, "")
+    return {
+        "date": S.find_date(row),
+        "item": F.substr(F.regexp_replace(words, rf"(?s)\A(.*?){_token(S.INT)}", "$1"), F.lit(2)),
+        "qty": F.substr(F.regexp_extract(words, _token(S.INT), 0), F.lit(2)),
+        "price": from_end(2),
+        "total": from_end(1),
+    }
 
 
 def extract_fields(texts: DataFrame, text: str = "text", name_item: Callable[[Column], Column] | None = None) -> DataFrame:
     """The other columns of texts with row_pos and the five fields, one row for each ledger row; '' where a field is missing.
 
     `name_item` gives an item, from the row's text as written, where none is left; without it
-    such items are ''.
+    such items are ''. A null or empty text has no row.
     """
-    out = texts.withColumn("_r", F.explode(rows_of(F.col(text)))).drop(text)
-    item = F.col("_r.item")
+    others = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    lines = texts.select(*others, plain(F.col(f"`{text}`")).alias("_lines"))  # made once, then read by several patterns
+    rows = lines.select(*others, F.posexplode(row_texts(F.col("_lines"))).alias("row_pos", "_row"))
+    fields = row_fields(F.col("_row"))
     if name_item is not None:
-        item = F.when(item == "", F.coalesce(name_item(F.col("_r.line")), F.lit(""))).otherwise(item)
-    fields = [item.alias(f) if f == "item" else F.col(f"_r.{f}").alias(f) for f in ("row_pos", *S.FIELDS)]
-    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_r"], *fields)
+        named = F.coalesce(name_item(F.substr(F.col("_row"), F.lit(2))), F.lit(""))
+        fields["item"] = F.when(fields["item"] == "", named).otherwise(fields["item"])
+    return rows.select(*others, "row_pos", *[fields[f].alias(f) for f in S.FIELDS])

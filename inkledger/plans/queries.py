@@ -38,7 +38,7 @@ def token_kinds(spark, sf_dir):
 
 
 def detect_shape(spark, sf_dir):
-    return render_ledgers(spark, sf_dir).select("stem", "engine", E.shape(S.lines_of(F.col("text"))).alias("shape"))
+    return render_ledgers(spark, sf_dir).select("stem", "engine", E.shape(F.col("text")).alias("shape"))
 
 
 def extract_fields(spark, sf_dir):
