@@ -75,10 +75,13 @@ def extract_fields(texts: DataFrame, text: str = "text", name_item: Callable[[Co
     such items are ''. A null or empty text has no row.
     """
     others = [F.col(f"`{c}`") for c in texts.columns if c != text]
-    lines = texts.select(*others, plain(F.col(f"`{text}`")).alias("_lines"))  # made once, then read by several patterns
-    rows = lines.select(*others, F.posexplode(row_texts(F.col("_lines"))).alias("row_pos", "_row"))
-    fields = row_fields(F.col("_row"))
+    made = "_" * max(map(len, texts.columns))  # longer names than any there is
+    # the lines are made once, then read by several patterns
+    lines = texts.select(*others, plain(F.col(f"`{text}`")).alias(f"{made}lines"))
+    rows = lines.select(*others, F.posexplode(row_texts(F.col(f"`{made}lines`"))).alias("row_pos", f"{made}row"))
+    row = F.col(f"`{made}row`")
+    fields = row_fields(row)
     if name_item is not None:
-        named = F.coalesce(name_item(F.substr(F.col("_row"), F.lit(2))), F.lit(""))
+        named = F.coalesce(name_item(F.substr(row, F.lit(2))), F.lit(""))
         fields["item"] = F.when(fields["item"] == "", named).otherwise(fields["item"])
     return rows.select(*others, "row_pos", *[fields[f].alias(f) for f in S.FIELDS])
