@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,12 +116,14 @@ def encode(rows: Rows, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     """(row, feature, value) of all features: the words of a text weigh WORDS_WEIGH together, its statistics and metadata 1."""
     n, k = rows.stats.shape
     size = np.diff(rows.ptr)
-    row = np.concatenate((np.repeat(np.arange(n), size), np.repeat(np.arange(n), k)))
     bins = np.column_stack([np.searchsorted(edges[j], rows.stats[:, j], side="right") for j in range(k)]) if n else np.zeros((0, k), np.int64)
-    feature = np.concatenate((rows.bucket, (BUCKETS + np.arange(k) * BINS + bins).ravel()))
-    value = np.concatenate((np.repeat(WORDS_WEIGH / np.sqrt(np.maximum(size, 1)), size), np.full(n * k, 1 / np.sqrt(k))))
-    by = np.argsort(row, kind="stable")
-    return row[by], feature[by], value[by]
+    row = np.repeat(np.arange(n, dtype=np.int32), size + k)
+    is_word, at = np.ones(len(row), bool), (np.cumsum(size + k)[:, None] - k + np.arange(k)).ravel()
+    is_word[at] = False  # a row's words come first, then its statistics
+    feature, value = np.empty(len(row), np.int32), np.empty(len(row))
+    feature[is_word], feature[at] = rows.bucket, (BUCKETS + np.arange(k) * BINS + bins).ravel()
+    value[is_word], value[at] = np.repeat(WORDS_WEIGH / np.sqrt(np.maximum(size, 1)), size), 1 / np.sqrt(k)
+    return row, feature, value
 
 
 def _sums(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -158,8 +161,9 @@ def fit(rows: Rows, label: np.ndarray, epochs: int = 60, patience: int = 4, batc
     share = label.mean()
     weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
     params = [np.zeros(1), np.zeros(n_features), rng.normal(0, 0.05, (n_features, FACTORS))]
-    row, feature, value = encode(rows, edges)
-    begin = np.searchsorted(row, np.arange(len(label) + 1))
+    begin = rows.ptr + np.arange(len(label) + 1) * k
+    _, feature, value = encode(rows, edges)
+    del rows, _  # the driver holds the sample in one form at a time
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
 
     def some_rows(some: np.ndarray):
@@ -190,7 +194,7 @@ def fit(rows: Rows, label: np.ndarray, epochs: int = 60, patience: int = 4, batc
                 p[where] -= rate * (a[where] / (1 - 0.9**step)) / (np.sqrt(b[where] / (1 - 0.999**step)) + 1e-8)
         rate *= 0.93
         if len(aside):
-            *_, m, _ = some_rows(aside)
+            m = np.concatenate([some_rows(some)[3] for some in np.array_split(aside, max(1, len(aside) // batch))])
             loss = float((weight[aside] * (np.logaddexp(0, m) - label[aside] * m)).mean())
             if loss < best[0] * 0.999:
                 best, since = (loss, [p.copy() for p in params]), 0
@@ -213,6 +217,18 @@ def _numbers(batch, metadata: tuple[str, ...]) -> np.ndarray:
     return np.column_stack(cols) if cols else np.zeros((batch.num_rows, 0))
 
 
+def _gathered(counted: DataFrame, width: int) -> tuple[Rows, np.ndarray]:
+    """The sample's rows, each as often as it counts, and labels, in order of id and label."""
+    got = counted.toArrow()
+    ids, label, times = (got[c].to_numpy() for c in ("id", "label", "times"))
+    order = np.lexsort((label, ids))
+    order = np.repeat(order, times[order])
+    got = got.select(["buckets", "stats"]).combine_chunks().take(pa.array(order))
+    ptr = np.append(0, np.cumsum(pc.list_value_length(got["buckets"]).to_numpy(), dtype=np.int64))
+    bucket, stats = (pc.list_flatten(got[c]).to_numpy() for c in ("buckets", "stats"))
+    return Rows(ptr, bucket, stats.reshape(len(order), width)), label[order].astype(float)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tuple[str, ...] = METADATA) -> Model:
     """Fit on a sample of labelled texts whose crc32 of doc_id leaves a remainder of 1 to 4 by 5.
 
@@ -246,13 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, metadata: tu
                     ["id", "label", "times", "buckets", "stats"],
                 )
 
-    got = texts.mapInArrow(counted, "id bigint, label int, times int, buckets array<int>, stats array<double>").toPandas()
-    got = got.sort_values(["id", "label"], kind="stable")
-    got = got.loc[got.index.repeat(got["times"])]
-    size = got["buckets"].map(len).to_numpy(np.int64)
-    bucket = np.concatenate([np.zeros(0, np.int64), *got["buckets"]]).astype(np.int64)
-    stats = np.array(got["stats"].tolist(), float).reshape(len(got), len(STATS) + len(metadata))
-    return fit(Rows(np.concatenate(([0], np.cumsum(size))), bucket, stats), got["label"].to_numpy(float))
+    schema = "id bigint, label int, times int, buckets array<int>, stats array<double>"
+    rows, label = _gathered(texts.mapInArrow(counted, schema), len(STATS) + len(metadata))
+    model = fit(rows, label)
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver lives on for the stages that follow
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", metadata: tuple[str, ...] = METADATA) -> DataFrame:

@@ -200,7 +200,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", radiu
     parts = parted.groupBy("band", "part").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     keyed = parted.join(open_, "band").select(F.col("band").alias("block"), (F.col("part") == F.col("largest")).alias("settled"), "id", "fp", "part")
-    dealt = deal(keyed, radius, tile).join(sets, "id")
+    # dealing reads them twice, and would hold the joins above twice in one plan
+    dealt = deal(checkpoint(keyed), radius, tile).join(sets, "id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("pair", "id", "fp", "part", "set").repartition(n, "pair").sortWithinPartitions("pair")
     more = checkpoint(dealt.mapInArrow(_compare(radius), "a bigint, b bigint"))

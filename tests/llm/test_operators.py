@@ -1,6 +1,7 @@
 import hashlib
 import os
 import re
+import tracemalloc
 from datetime import date
 
 import duckdb
@@ -204,6 +205,23 @@ def test_sharding(spark, docs):
     assert sharding.shard_records(docs).count() == docs.count() and sharding.shard_records(docs.limit(0)).count() == 0
 
 
+def test_quality_encodes_in_little_memory():
+    n, size = 100, 2000
+    rng = np.random.default_rng(3)
+    bucket = np.concatenate([np.sort(rng.choice(quality.BUCKETS, size, replace=False)) for _ in range(n)]).astype(np.int32)
+    rows = quality.Rows(np.arange(n + 1) * size, bucket, rng.normal(size=(n, quality.FEATURES)))
+    edges = np.sort(rng.normal(size=(quality.FEATURES, quality.BINS - 1)))
+    tracemalloc.start()
+    row, feature, value = quality.encode(rows, edges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(row)
+    for k in (0, n - 1):
+        bins = [quality.BUCKETS + j * quality.BINS + int((edges[j] <= x).sum()) for j, x in enumerate(rows.stats[k])]
+        assert feature[row == k].tolist() == [*bucket[k * size : (k + 1) * size], *bins]
+        assert value[row == k] == pytest.approx([quality.WORDS_WEIGH / size**0.5] * size + [quality.FEATURES**-0.5] * quality.FEATURES)
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(10)], "doc_id bigint, quality int, toxic int")
     for known in (labels, labels.limit(0)):

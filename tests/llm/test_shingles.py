@@ -66,3 +66,11 @@ def test_repeated_rows_and_keys(spark):
     kept = out.collect()
     assert out.columns == df.columns and all(r._r1 == r.key == "x" for r in kept)
     assert sorted(r.doc_id for r in kept) == [3, 5, 7, 7] and len({r.text for r in kept}) == 4
+
+
+def test_rows_are_dealt_without_the_joins_before(spark, monkeypatch):
+    plans, deal = [], shingles.deal
+    monkeypatch.setattr(shingles, "deal", lambda keyed, *a: (plans.append(keyed._jdf.queryExecution().optimizedPlan().toString()), deal(keyed, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(planted())), "doc_id bigint, text string")
+    shingles.near_classes(docs)
+    assert plans and all("Join" not in x for x in plans)
