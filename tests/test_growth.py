@@ -3,12 +3,14 @@
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkledger.functions import semantics as S
-from inkledger.operators import extraction, fusion, scoring
+from inkledger.operators import extraction, fusion, imaging, scoring
 from inkledger.plans import queries
+from inkledger.sources import render
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +77,21 @@ def _table(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     return row
+
+
+def test_pages_are_dealt_and_quieted_together(spark):
+    """A file of suppliers is one piece; pages of one size share their steps, and come out as each does alone."""
+    assert render.pages(spark, SF).rdd.getNumPartitions() >= 4
+    rng = np.random.default_rng(2)
+    images = [rng.integers(0, 256, size).astype(np.uint8) for size in ((24, 40, 3), (9, 5), (24, 40, 3), (24, 40, 1), (1, 1), (9, 5))]
+    for pixels, (pages, angle) in zip(images, imaging.stages_of(images), strict=True):
+        alone, turned = imaging.stages(pixels)
+        assert angle == turned and all((pages[s] == alone[s]).all() for s in imaging.STAGES)
+    page = rng.integers(0, 40, (9, 12)).astype(np.uint8)
+    wide = np.pad(page, 13, mode="symmetric").astype(float)
+    patch = lambda y, x: wide[y + 10 : y + 17, x + 10 : x + 17]
+    for y, x in ((0, 0), (4, 6), (8, 11)):
+        near = [(dy, dx) for dy in range(-10, 11) for dx in range(-10, 11)]
+        weights = [np.exp(-((patch(y, x) - patch(y + dy, x + dx)) ** 2).sum() / 4900) for dy, dx in near]
+        mean = np.dot(weights, [wide[y + dy + 13, x + dx + 13] for dy, dx in near]) / sum(weights)
+        assert abs(float(imaging.denoise(page)[y, x]) - mean) < 0.51
