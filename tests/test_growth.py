@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkledger.functions import semantics as S
-from inkledger.operators import extraction, fusion, imaging, scoring
+from inkledger.operators import extraction, fusion, imaging, records, scoring
 from inkledger.plans import queries
 from inkledger.sources import render
 
@@ -95,3 +95,19 @@ def test_pages_are_dealt_and_quieted_together(spark):
         weights = [np.exp(-((patch(y, x) - patch(y + dy, x + dx)) ** 2).sum() / 4900) for dy, dx in near]
         mean = np.dot(weights, [wide[y + dy + 13, x + dx + 13] for dy, dx in near]) / sum(weights)
         assert abs(float(imaging.denoise(page)[y, x]) - mean) < 0.51
+
+
+def test_ids_come_from_places_in_sorted_files(spark):
+    """Rows are made once, though a sort looks at them twice, and no shuffle follows the sorted files."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(k):
+        made.add(1)
+        return 7 * k % 1000
+
+    rows = spark.range(0, 1000, 1, 6).select(seen.asNondeterministic()(F.col("id").cast("int")).alias("k"), F.lit("x").alias("item"))
+    numbered = records.number(rows, ["k"], "t", after=5)
+    assert sorted((r.k, r.id) for r in numbered.collect()) == [(k, k + 6) for k in range(1000)]
+    assert made.value == 1000
+    assert "hashpartitioning(_range" not in plan_of(numbered) and "Scan ExistingRDD" not in plan_of(numbered)
