@@ -1,16 +1,19 @@
 """What keeps queries within time and disk on larger tables: rows made once, dealt once, and left out of checkpoints."""
 
+import os
 import random
 import sys
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from inkledger.functions import semantics as S
 from inkledger.operators import extraction, fusion, imaging, records, scoring
-from inkledger.plans import queries
+from inkledger.plans import lineage, queries, workbench
 from inkledger.sources import render
+from inkledger.streaming import landing
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +114,26 @@ def test_ids_come_from_places_in_sorted_files(spark):
     assert sorted((r.k, r.id) for r in numbered.collect()) == [(k, k + 6) for k in range(1000)]
     assert made.value == 1000
     assert "hashpartitioning(_range" not in plan_of(numbered) and "Scan ExistingRDD" not in plan_of(numbered)
+
+
+def test_tables_in_between_are_compressed(spark):
+    """What is written to be read again is Parquet, smaller than the texts; a checkpoint is larger than them."""
+    texts = queries.render_ledgers(spark, "/root/testdata/sf0.01")
+    files = lineage.written(texts).inputFiles()
+    assert files and sum(os.path.getsize(f.removeprefix("file://")) for f in files) < texts.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_landed_files_are_shared_by_tasks(spark, monkeypatch):
+    """A batch takes two files; each is of several row groups, so that more than two tasks parse it."""
+    folders = []
+
+    def stop(_, folder, per_batch):
+        folders.append((folder, per_batch))
+        raise InterruptedError
+
+    monkeypatch.setattr(landing, "landed_rows", stop)
+    with pytest.raises(InterruptedError):
+        workbench.landing_stream(spark, "/root/testdata/sf0.1")
+    ((folder, per_batch),) = folders
+    groups = [pq.ParquetFile(f"{folder}/{f}").metadata.num_row_groups for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert per_batch == 2 and groups and min(groups) > 1
